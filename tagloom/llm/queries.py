@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import collapse
+from tagloom.llm import collapse, encoding
 from tagloom.session import table
 
 TRACK_WORDS = ["title", "artist", "album", "album_artist"]
@@ -30,5 +30,24 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     return _collapsed(spark, d).where("id = kept_id").select("tbl", "kept_id", "copies")
 
 
+TEXT_FIELDS = ["title", "artist", "album"]
+
+
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    more = [(table(spark, d, "catalog_tracks"), ["title", "artist"]), (table(spark, d, "tracks"), ["album_artist"])]
+    return encoding.garbled_fields(table(spark, d, "tracks"), "track_id", TEXT_FIELDS, more)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of tracks that went through a wrong decoding."""
+    return _garbled(spark, d).select(F.col("key").alias("track_id"), "field")
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled values with their original text, null where it is lost."""
+    found = encoding.restore(table(spark, d, "tracks"), "track_id", TEXT_FIELDS, _garbled(spark, d))
+    return found.select(F.col("key").alias("track_id"), "field", "value", "restored")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
