@@ -88,7 +88,7 @@ def plausible(text: str) -> bool:
             pass
         else:
             scripts = set()
-            if c > "\x7f" and c not in "¿¡«»‘’“”–—…、・。「」　":
+            if c > "\x7f" and c not in "¿¡«»‘’“”–—…、・。「」\u3000\xa0\xad":
                 return False
         previous = c
     return True
@@ -213,8 +213,8 @@ def verdicts(counted: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """(chunk, restored, lossy) for garbled chunks of `counted` (chunk, n); `restored` is null where unknown.
 
     `more` adds (chunk, n) of other columns to the corpus the words are counted in. A chunk is garbled if
-    a reading stands on structure alone and its words are no rarer than those of the chunk, if the words of
-    a reading are known and commoner, if a symbol stands between letters, or if characters are lost.
+    a reading stands on structure alone (no ordinary text looks like the chunk), if the words of a
+    reading are known and commoner, if a symbol stands between letters, or if characters are lost.
     """
     counted = cut(counted)
     corpus = vocabulary(counted if more is None else counted.unionByName(more))
@@ -226,7 +226,7 @@ def verdicts(counted: DataFrame, more: DataFrame | None = None) -> DataFrame:
     old = options.select("chunk", F.explode("old_words").alias("w")).distinct().join(known, "w", "left").groupBy("chunk").agg(F.min(F.coalesce("known", F.lit(0))).alias("old_n"))
     judged = options.join(new, ["chunk", "option"], "left").join(old, "chunk", "left").fillna(0, ["new_n", "old_n"])
     lost = F.col("restored").isNull()
-    good = judged.where((F.col("strong") & (lost | (F.col("new_n") >= F.col("old_n")) | (F.size("words") == 0))) | (~lost & (F.col("new_n") > F.col("old_n")) & (F.col("new_n") > 1) & F.exists("words", lambda w: F.length(w) > 2)))
+    good = judged.where((F.col("strong")) | (~lost & (F.col("new_n") > F.col("old_n")) & (F.col("new_n") > 1) & F.exists("words", lambda w: F.length(w) > 2)))
     found = good.groupBy("chunk").agg(F.max_by("restored", F.when(lost, -1).otherwise(F.col("new_n") + F.col("strong").cast("int"))).alias("restored"))
     # lost characters: question marks inside words, and replacement characters
     marked = counted.where(F.col("chunk").contains("?") | F.col("chunk").contains("�"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import collapse, encoding
-from tagloom.session import table
+from tagloom.llm import collapse, encoding, lookalike
+from tagloom.session import cut, table
 
 TRACK_WORDS = ["title", "artist", "album", "album_artist"]
 TRACK_NUMBERS = ["year", "disc_number", "track_number", "duration_ms"]
@@ -49,5 +49,27 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("key").alias("track_id"), "field", "value", "restored")
 
 
+def _look_alikes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The odd values of both tables that are not garbled, and their repaired forms."""
+    tracks = lookalike.odd_fields(table(spark, d, "tracks"), "track_id", ["title", "album"]).withColumn("tbl", F.lit("tracks"))
+    catalog = lookalike.odd_fields(table(spark, d, "catalog_tracks"), "catalog_track_id", ["title"]).withColumn("tbl", F.lit("catalog_tracks"))
+    rows = tracks.unionByName(catalog)
+    repaired = cut(lookalike.repaired(rows.groupBy("value").agg(F.count("*").alias("n"))))
+    hit = rows.where(F.col("value").rlike(lookalike.SUSPECT)).join(repaired, "value")
+    garbled = _garbled(spark, d).select("key", "field", F.lit("tracks").alias("tbl"))
+    return hit.join(garbled, ["tbl", "key", "field"], "left_anti"), repaired
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every value with characters that only look like the usual ones."""
+    return _look_alikes(spark, d)[0].select("tbl", F.col("key").alias("row_id"), "field")
+
+
+def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
+    """The same values with one consistent form of each."""
+    hit = _look_alikes(spark, d)[0]
+    return hit.select("tbl", F.col("key").alias("row_id"), "field", "value", lookalike.apply_swaps(F.col("base"), F.col("swap")).alias("consistent"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
