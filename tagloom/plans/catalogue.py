@@ -5,10 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagloom.operators import split_values
+from tagloom.session import table
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """One row per act of every artist field that names two or more acts."""
+    tracks, catalog, albums = (table(spark, d, t) for t in ("tracks", "catalog_tracks", "catalog_albums"))
+    rows = tracks.select(F.lit("tracks").alias("tbl"), F.col("track_id").alias("row_id"), "artist")
+    rows = rows.unionByName(catalog.select(F.lit("catalog_tracks").alias("tbl"), F.col("catalog_track_id").alias("row_id"), "artist"))
+    known = table(spark, d, "artist_credits").select("name").union(tracks.select("album_artist")).union(albums.select("artist")).distinct()
+    return split_values.split_fields(rows, "artist", known)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
