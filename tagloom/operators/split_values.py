@@ -144,7 +144,8 @@ def resolve(text: str, pieces: list[Piece], known: set[tuple[int, int]]) -> list
     """The names of a field: the segmentation into runs with the fewest unknown names, then the fewest names.
 
     An unknown run of several pieces is allowed only where one word is joined with one unknown word
-    (a duo such as a name and a noun), or where the second part can't stand alone (`The`, `Choir of ...`).
+    (a duo such as a name and a noun), where two unknown words stand around a comma (an inverted name), or
+    where the second part can't stand alone (`The`, `Choir of ...`, also when the field breaks off in it).
     """
     n = len(pieces)
     best: list[tuple[tuple[float, int], int]] = [((0.0, 0), 0)] + [((float("inf"), 0), 0)] * n
@@ -157,7 +158,9 @@ def resolve(text: str, pieces: list[Piece], known: set[tuple[int, int]]) -> list
             left, right = text[pieces[i].start : pieces[i].end], text[pieces[i + 1].start : pieces[i + 1].end]
             duo = pieces[i + 1].before in ("/", "&", "+", "and") and " " not in left and " " not in right and (i + 1, j) not in known
             part = right.lower() in ("the", "los", "las", "die", "les") or re.match(r"(?i)choir of\b", right) is not None
-            if not duo and not part:
+            part = part or (j == n and "choir of".startswith(right.lower()) and re.search(r"(?i)orch(estra|\.)?$", left) is not None)
+            inverted = pieces[i + 1].before == "," and " " not in left and " " not in right and (i, i + 1) not in known and (i + 1, j) not in known
+            if not duo and not part and not inverted:
                 continue
             cost = 0.9
         else:
