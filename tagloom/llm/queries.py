@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import collapse, encoding, lookalike
+from tagloom.llm import collapse, encoding, lookalike, truncation
 from tagloom.session import cut, table
 
 TRACK_WORDS = ["title", "artist", "album", "album_artist"]
@@ -71,5 +71,17 @@ def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
     return hit.select("tbl", F.col("key").alias("row_id"), "field", "value", lookalike.apply_swaps(F.col("base"), F.col("swap")).alias("consistent"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of tracks that stops before its end."""
+    return truncation.truncated_fields(table(spark, d, "tracks"), "track_id", TEXT_FIELDS, "tagger").select(F.col("key").alias("track_id"), "field")
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each tagger cuts each field."""
+    values, _ = truncation.scored(table(spark, d, "tracks"), "track_id", TEXT_FIELDS, "tagger")
+    is_cut = F.when(F.col("p") > 0.5, F.col("n")).otherwise(0)
+    return values.groupBy(F.col("source").alias("tagger"), "field").agg(F.sum("n").alias("n_values"), F.sum(is_cut).alias("n_cut"), F.round(F.sum(is_cut) / F.sum("n"), 6).alias("rate"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
