@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import collapse, encoding, lookalike, truncation
+from tagloom.llm import collapse, encoding, lookalike, spans, truncation
 from tagloom.session import cut, table
 
 TRACK_WORDS = ["title", "artist", "album", "album_artist"]
@@ -83,5 +83,17 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return values.groupBy(F.col("source").alias("tagger"), "field").agg(F.sum("n").alias("n_values"), F.sum(is_cut).alias("n_cut"), F.round(F.sum(is_cut) / F.sum("n"), 6).alias("rate"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The merged ranges of each document that occur verbatim in another one."""
+    return spans.shared_spans(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document is shared elsewhere."""
+    found = p10_found(spark, d).groupBy("doc_id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared_chars"), F.count("*").alias("spans"))
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("chars"))
+    return docs.join(found, "doc_id").select("doc_id", "spans", "shared_chars", F.round(F.col("shared_chars") / F.col("chars"), 6).alias("share"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
