@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import collapse, encoding, lookalike, spans, truncation
+from tagloom.llm import collapse, encoding, leaks, lookalike, spans, truncation
 from tagloom.session import cut, table
 
 TRACK_WORDS = ["title", "artist", "album", "album_artist"]
@@ -95,5 +95,11 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(found, "doc_id").select("doc_id", "spans", "shared_chars", F.round(F.col("shared_chars") / F.col("chars"), 6).alias("share"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that holds a passage of an evaluation item, with the item."""
+    found = leaks.leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
