@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import collapse, encoding, leaks, lookalike, spans, truncation
+from tagloom.llm import collapse, encoding, leaks, lookalike, names, packing, spans, truncation
 from tagloom.session import cut, table
 
 TRACK_WORDS = ["title", "artist", "album", "album_artist"]
 TRACK_NUMBERS = ["year", "disc_number", "track_number", "duration_ms"]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of credits that name the same act."""
+    return names.act_pairs(cut(names.acts(table(spark, d, "artist_credits"), "credit_id", "name")))
+
+
+def p1_acts(spark: SparkSession, d: str) -> DataFrame:
+    """Each credit with the smallest credit of its act."""
+    return names.acts(table(spark, d, "artist_credits"), "credit_id", "name").select(F.col("id").alias("credit_id"), "act")
+
+
 def _collapsed(spark: SparkSession, d: str) -> DataFrame:
     tracks = collapse.collapse(table(spark, d, "tracks"), "track_id", TRACK_WORDS, [], TRACK_NUMBERS)
     groups = collapse.collapse(table(spark, d, "album_groups"), "group_id", ["album", "album_artist"], ["barcode"], ["year", "track_count"])
@@ -101,5 +111,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each document, or of each piece of a document longer than a container."""
+    sizes = cut(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"))
+    return packing.pack(sizes).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers there are and how full."""
+    boxes = p8_packed(spark, d).groupBy("container").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("tokens"))
+    return boxes.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.round(F.avg("tokens") / packing.CAPACITY, 6).alias("fill"), F.max("tokens").alias("fullest"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
