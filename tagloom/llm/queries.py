@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import collapse, encoding, leaks, lookalike, names, packing, spans, truncation
+from tagloom.llm import collapse, encoding, leaks, lookalike, names, packing, releases, spans, truncation
 from tagloom.session import cut, table
 
 TRACK_WORDS = ["title", "artist", "album", "album_artist"]
@@ -123,5 +123,23 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return boxes.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.round(F.avg("tokens") / packing.CAPACITY, 6).alias("fill"), F.max("tokens").alias("fullest"))
 
 
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Each local release with its catalog album and the confidence of the match."""
+    groups = table(spark, d, "album_groups").select(F.col("group_id").alias("id"), F.col("album").alias("title"), F.col("album_artist").alias("artist"), "year", F.col("track_count").alias("count"))
+    albums = table(spark, d, "catalog_albums").select(F.col("collection_id").alias("id"), F.col("album").alias("title"), "artist", F.col("release_year").alias("year"), F.col("track_count").alias("count"))
+    more = [(table(spark, d, "catalog_tracks"), ["title", "artist"]), (albums, ["title", "artist"])]
+    fields = ["title", "artist"]
+    repaired = encoding.restore(groups, "id", fields, encoding.garbled_fields(groups, "id", fields, more)).where("restored IS NOT NULL")
+    by_id = repaired.groupBy(F.col("key").alias("id")).agg(*(F.max(F.when(F.col("field") == f, F.col("restored"))).alias(f"r_{f}") for f in fields))
+    fixed = groups.join(by_id, "id", "left").select("id", *(F.coalesce(f"r_{f}", f).alias(f) for f in fields), "year", "count")
+    return releases.match_releases(fixed, albums)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every local release with the catalog album that is the same release."""
+    return p7_matches(spark, d).select("group_id", "collection_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
+    found = {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
+    return dict(sorted(found.items(), key=lambda x: (int(x[0][1:].split("_")[0]), not x[0].endswith("_found"))))
