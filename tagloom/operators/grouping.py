@@ -6,12 +6,13 @@ states that its keys belong together, and equal statements are combined before t
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import ids, paths, text
 from tagloom.operators.components import components
+from tagloom.operators.skew import lookup_join
+from tagloom.operators.streamed import grouped_rows
 from tagloom.session import cut
 
 
@@ -49,8 +50,6 @@ def linked(tracks: DataFrame) -> DataFrame:
     edges = keyed.select("tag_key", F.explode(F.array(F.col("tag_key"), m, b)).alias("key")).where("key IS NOT NULL").distinct()
     found = cut(components(edges, "tag_key", "key"))
     sizes = keyed.groupBy("tag_key").agg(F.count("*").alias("n"))
-    from tagloom.operators.skew import lookup_join
-
     lookup = cut(found.join(sizes, found["node"] == sizes["tag_key"]).select("tag_key", "component", "n"))
     total = lookup.agg(F.sum("n")).first()[0] or 0
     return lookup_join(keyed, lookup, "tag_key", "n", total)
@@ -73,25 +72,20 @@ def releases(members: DataFrame) -> DataFrame:
     return agg.withColumn("conflicts", conflicts).drop("ids_differ", "codes_differ", "recordings_differ")
 
 
-def _fold_position(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Tracks at one place of one release in path order -> the first of each presentation, replaced by one with a recording id."""
-    kept: list[dict] = []
-    for row in pdf.sort_values("path", kind="stable").to_dict("records"):
-        same = next(
-            (
-                k for k in kept
-                if row["number"] is not None and not pd.isna(row["number"]) and text.duplicates_compatible(k["title"], k["artist"] or "", row["title"], row["artist"] or "")
-                and (not k["recording_id"] or not row["recording_id"] or k["recording_id"] == row["recording_id"])
-            ),
-            None,
-        )
-        if same is None:
-            exact = pd.isna(row["number"]) and any(k["title_n"] == row["title_n"] for k in kept)
-            if not exact:
+def _fold_position(rows: list[tuple]) -> list[tuple]:
+    """Tracks (path, component, number, title, title_n, artist, recording_id) at one place of one release in path
+    order -> (component, path) of the first of each presentation, replaced by one with a recording id."""
+    kept: list[tuple] = []
+    for row in rows:
+        path, component, number, title, title_n, artist, recording = row
+        numbered = number is not None and number == number
+        at = next((i for i, k in enumerate(kept) if numbered and text.duplicates_compatible(k[3], k[5] or "", title, artist or "") and (not k[6] or not recording or k[6] == recording)), None)
+        if at is None:
+            if numbered or all(k[4] != title_n for k in kept):
                 kept.append(row)
-        elif not same["recording_id"] and row["recording_id"]:
-            kept[kept.index(same)] = row
-    return pd.DataFrame([{"component": k["component"], "path": k["path"]} for k in kept], columns=["component", "path"]).astype({"component": "int64"})
+        elif not kept[at][6] and recording:
+            kept[at] = row
+    return [(k[1], k[0]) for k in kept]
 
 
 def logical_tracks(members: DataFrame) -> DataFrame:
@@ -103,4 +97,5 @@ def logical_tracks(members: DataFrame) -> DataFrame:
     m = members.withColumn("disc", F.coalesce("disc_number", F.lit(1))).withColumn("title_n", text.fold_udf("title"))
     slot = F.when(F.col("track_number") > 0, F.xxhash64("disc", "track_number")).otherwise(F.xxhash64("disc", "title_n", F.bround(F.coalesce("duration_ms", F.lit(0)) / 2000)))
     first = m.withColumn("slot", slot).groupBy("component", "slot", "title", "title_n", "artist", "recording_id", F.col("track_number").alias("number")).agg(F.min("path").alias("path"))
-    return first.groupBy("component", "slot").applyInPandas(_fold_position, "component long, path string")
+    placed = first.select(F.xxhash64("component", "slot").alias("place"), "path", "component", "number", "title", "title_n", "artist", "recording_id")
+    return grouped_rows(placed, "place", ["path"], _fold_position, "component long, path string")

@@ -193,7 +193,7 @@ def _resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names = [x for x in resolve(value, tokenize(value), {(k["i"], k["j"]) for k in known}) if x]
             if len(names) > 1:
                 rows += [(value, pos, name) for pos, name in enumerate(names, 1)]
-        yield pd.DataFrame({"value": [r[0] for r in rows], "pos": pd.array([r[1] for r in rows], "int32"), "val": [r[2] for r in rows]})
+        yield pd.DataFrame(rows, columns=["value", "pos", "val"]).astype({"pos": "int32"})
 
 
 def split_values(values: DataFrame, known_names: DataFrame) -> DataFrame:

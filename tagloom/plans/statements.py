@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-_COMPACT = "regexp_replace(barcode, '[\\s-]+', '', 'g')"
-_GTIN = f"""CASE WHEN regexp_full_match({_COMPACT}, '\d{{8}}|\d{{12,14}}') AND NOT regexp_full_match({_COMPACT}, '0+')
+_COMPACT = r"regexp_replace(barcode, '[\s-]+', '', 'g')"
+_GTIN = rf"""CASE WHEN regexp_full_match({_COMPACT}, '\d{{8}}|\d{{12,14}}') AND NOT regexp_full_match({_COMPACT}, '0+')
   AND list_sum(list_transform(range(1, length({_COMPACT}) + 1), lambda i: CAST(substr(reverse({_COMPACT}), i, 1) AS INT) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10 = 0 THEN {_COMPACT} END"""
 _UUID = "CASE WHEN regexp_full_match(replace(lower({0}), '-', ''), '[0-9a-f]{{32}}') AND NOT regexp_full_match(replace({0}, '-', ''), '0+') THEN regexp_replace(replace(lower({0}), '-', ''), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') END"
 _LINES = """
