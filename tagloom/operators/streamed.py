@@ -34,12 +34,14 @@ def grouped_rows(df: DataFrame, key: str, order: list[str], function: Callable[[
                     held = []
                 held_key = keys[a]
                 held += rows[a:b]
+            if out:
+                yield _frame(out, out_names)
+        out = function(held) if held else []
+        if out:
             yield _frame(out, out_names)
-        if held:
-            yield _frame(function(held), out_names)
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(dict(zip(names, zip(*rows, strict=True), strict=True))) if rows else pd.DataFrame({n: [] for n in names})
+    return pd.DataFrame(dict(zip(names, zip(*rows, strict=True), strict=True)))
