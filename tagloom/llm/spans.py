@@ -5,7 +5,7 @@ Method: super-k-mer partitioning. Every window of `LENGTH` characters has a mini
 string to the bucket of that minimiser, where the windows are sorted and counted exactly.
 
 Before text moves, three things shrink it: copies of whole texts are collapsed (a copy is shared as a
-whole), minimisers that occur in one text only are dropped on the strength of 12-byte keys, and equal
+whole), minimisers that occur in one text only are dropped on the strength of their hashes, and equal
 packed strings are counted by the map side. Buckets of a minimiser that very many records hold are not
 gathered in one task: their windows are counted by a distributed aggregate over window fingerprints.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm import packed
+from tagloom.operators.streamed import grouped_rows
 from tagloom.session import cut
 
 LENGTH = 300
@@ -70,8 +71,8 @@ def _super_kmers(length: int, piece: int):
                 texts = pdf["text"].iloc[part].tolist()
                 points, offsets = packed.code_points(texts)
                 text, first, last, low = minimisers(points, offsets, length, piece)
-                ids = pdf["id"].to_numpy()[part]
-                yield pd.DataFrame({"key": low.view(np.int64), "id": ids[text], "first": first.astype(np.int32), "last": last.astype(np.int32)})
+                ids, marks = pdf["id"].to_numpy()[part], pdf["h"].to_numpy()[part]
+                yield pd.DataFrame({"key": low.view(np.int64), "id": ids[text], "h": marks[text], "first": first.astype(np.int32), "last": last.astype(np.int32)})
 
     return run
 
@@ -101,32 +102,31 @@ def _slices(length: int):
 
 
 def _count_bucket(length: int):
-    """One bucket: distinct packed strings with the number of texts each stands for -> windows found in two texts or more."""
+    """One bucket of rows (key, packed, low_id, high_id), equal strings combined -> windows found in two texts or more."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        windows = [(s[k : k + length], i, k) for i, s in enumerate(pdf["packed"]) for k in range(len(s) - length + 1)]
+    def run(rows: list[tuple]) -> list[tuple]:
+        if len(rows) == 1 and rows[0][2] == rows[0][3]:
+            return []
+        windows = [(r[1][k : k + length], i, k) for i, r in enumerate(rows) for k in range(len(r[1]) - length + 1)]
         windows.sort()
         shared: dict[int, list[int]] = {}
         a = 0
-        many = (pdf["low_id"] != pdf["high_id"]).to_numpy()
-        low, high = pdf["low_id"].to_numpy(), pdf["high_id"].to_numpy()
         for b in range(1, len(windows) + 1):
             if b == len(windows) or windows[b][0] != windows[a][0]:
-                same = {i for _, i, _ in windows[a:b]}
-                if any(many[i] for i in same) or len({x for i in same for x in (low[i], high[i])}) > 1:
+                if len({x for _, i, _ in windows[a:b] for x in rows[i][2:4]}) > 1:
                     for _, i, k in windows[a:b]:
                         shared.setdefault(i, []).append(k)
                 a = b
-        rows = []
+        out = []
         for i, ks in shared.items():
             ks.sort()
             start = previous = ks[0]
             for k in [*ks[1:], 1 << 60]:
                 if k > previous + 1:
-                    rows.append((pdf["key"].iloc[0], pdf["packed"].iloc[i], start, previous))
+                    out.append((rows[i][0], rows[i][1], start, previous))
                     start = k
                 previous = k
-        return pd.DataFrame(rows, columns=["key", "packed", "from_window", "to_window"]).astype({"from_window": "int32", "to_window": "int32"})
+        return out
 
     return run
 
@@ -177,10 +177,10 @@ def shared_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, pie
     copies = cut(marks.groupBy("h1", "h2").agg(F.min("id").alias("kept"), F.count("*").alias("copies")).where("copies > 1"))
     whole = marks.join(copies, ["h1", "h2"]).select("id", "kept", "n")
     whole = cut(whole)
-    one_each = rows.join(whole.where("id <> kept").select("id"), "id", "left_anti")
-    kmers = cut(one_each.mapInPandas(_super_kmers(length, piece), "key long, id long, first int, last int"))
-    counts = kmers.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
-    alive = kmers.join(counts, "key")
+    # a minimiser that only copies of one text hold has one text hash; copies drop out of what is left, not of the texts
+    kmers = cut(rows.withColumn("h", F.xxhash64("text")).mapInPandas(_super_kmers(length, piece), "key long, id long, h long, first int, last int"))
+    counts = kmers.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
+    alive = kmers.join(counts, "key").join(whole.where("id <> kept").select("id"), "id", "left_anti")
     runs = alive.groupBy("id").agg(F.collect_list(F.struct("key", "first", "last")).alias("runs"), F.max("n").alias("n"))
     sliced = rows.join(runs, "id").select("id", "text", "runs").mapInPandas(_slices(length), "key long, id long, first int, packed string")
     hot = counts.where(F.col("n") > bucket).select("key")
@@ -188,7 +188,7 @@ def shared_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, pie
     # ordinary buckets: equal strings are counted before they move, then each bucket sorts its windows
     cool = sliced.where("hot IS NULL")
     strings = cool.groupBy("key", "packed").agg(F.min("id").alias("low_id"), F.max("id").alias("high_id"))
-    found = strings.groupBy("key").applyInPandas(_count_bucket(length), "key long, packed string, from_window int, to_window int")
+    found = grouped_rows(strings.select(F.col("key").alias("bucket"), "key", "packed", "low_id", "high_id"), "bucket", [], _count_bucket(length), "key long, packed string, from_window int, to_window int")
     ordinary = cool.join(found, ["key", "packed"]).select("id", (F.col("first") + F.col("from_window")).alias("span_start"), (F.col("first") + F.col("to_window") + length).alias("span_end"))
     # hot buckets: windows are counted by fingerprint, with partial aggregation before the shuffle
     prints = sliced.where("hot").mapInPandas(_fingerprints(length), "a long, b long, id long, window int")
