@@ -245,7 +245,12 @@ def scored(rows: DataFrame, key: str, fields: list[str], source: str) -> tuple[D
     longer = cut(heads.groupBy("last").agg(F.sum("n").alias("longer")))
     # training: a bounded sample of intact values, chosen by a hash so that it is the same in every run
     ranked = free.where("length(value) > 2").where(~F.col("value").endswith("…")).select("field", "value", F.col("n").alias("own")).withColumn("h", F.xxhash64("value"))
-    sample = pd.concat([ranked.where(F.col("field") == f).orderBy("h", "own").limit(SAMPLE).toPandas() for f in fields])
+    # of large tables only hashes up to a bound take part, so that no task offers more rows than a few times its share of the sample
+    sizes = {r["field"]: r["n"] for r in ranked.groupBy("field").agg(F.count("*").alias("n")).collect()}
+    share = lambda f: min(1.0, 2 * SAMPLE / max(1, sizes.get(f, 0)))
+    bound = F.coalesce(*(F.when(F.col("field") == f, 2 * share(f) - 1) for f in fields))
+    sample = ranked.where(F.col("h") / float(2**63) <= bound).toPandas()  # about twice the sample at most
+    sample = sample.sort_values(["field", "h", "own"], kind="stable").groupby("field").head(SAMPLE).reset_index(drop=True)
     facts: dict = {"limits": found, "trained_on": 0}
     limit_chars, limit_bytes = _limit_columns(found, F.col("source"), F.col("field"))
     base = values.select("source", "field", "value", "n", F.when(F.col("free"), F.col("n")).otherwise(0).alias("own"), F.lit(0).alias("own_longer"), "free", limit_chars.alias("limit_chars"), limit_bytes.alias("limit_bytes"))
