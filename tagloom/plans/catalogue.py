@@ -65,11 +65,11 @@ def uuid_canonical(spark, d):
 
 def number_pair(spark, d):
     pair = ids.number_pair(F.concat_ws("/", F.col("track_number").cast("string"), F.col("track_total").cast("string")))
-    return tracks(spark, d).select("track_id", pair["number"].alias("number"), pair["total"].alias("total"), ids.standalone_total(F.col("disc_total").cast("string")).alias("discs"))
+    return tracks(spark, d).select("track_id", *(c.cast("string").alias(n) for n, c in (("number", pair["number"]), ("total", pair["total"]), ("discs", ids.standalone_total(F.col("disc_total").cast("string"))))))
 
 
 def year_extract(spark, d):
-    return albums(spark, d).select("collection_id", ids.year(F.concat_ws(" ", "album", F.col("release_year").cast("string"))).alias("year_found"))
+    return albums(spark, d).select("collection_id", ids.year(F.concat_ws(" ", "album", F.col("release_year").cast("string"))).cast("string").alias("year_found"))
 
 
 def matching_basis(spark, d):

@@ -31,9 +31,9 @@ FROM (SELECT unnest(list_filter(string_split(path, '/')[1:-2], lambda s: s <> ''
     "gtin_check": f"SELECT track_id, {_GTIN} AS gtin, lpad({_GTIN}, 14, '0') AS gtin_key FROM tracks",
     "uuid_canonical": f"SELECT track_id, {_UUID.format('mb_release_id')} AS release_id, {_UUID.format('mb_recording_id')} AS recording_id FROM tracks",
     "number_pair": """
-SELECT track_id, CASE WHEN track_number BETWEEN 1 AND 9999 AND coalesce(track_total, 0) <= 9999 THEN track_number END AS number,
-  CASE WHEN track_number BETWEEN 1 AND 9999 AND track_total BETWEEN track_number AND 9999 THEN track_total END AS total, CASE WHEN disc_total BETWEEN 1 AND 9999 THEN disc_total END AS discs FROM tracks""",
-    "year_extract": r"""SELECT collection_id, TRY_CAST(nullif(regexp_extract(' ' || concat_ws(' ', album, CAST(release_year AS VARCHAR)) || ' ', '\D((18|19|20|21)\d{2})\D', 1), '') AS INT) AS year_found FROM catalog_albums""",
+SELECT track_id, CAST(CASE WHEN track_number BETWEEN 1 AND 9999 AND coalesce(track_total, 0) <= 9999 THEN track_number END AS VARCHAR) AS number,
+  CAST(CASE WHEN track_number BETWEEN 1 AND 9999 AND track_total BETWEEN track_number AND 9999 THEN track_total END AS VARCHAR) AS total, CAST(CASE WHEN disc_total BETWEEN 1 AND 9999 THEN disc_total END AS VARCHAR) AS discs FROM tracks""",
+    "year_extract": r"""SELECT collection_id, nullif(regexp_extract(' ' || concat_ws(' ', album, CAST(release_year AS VARCHAR)) || ' ', '\D((18|19|20|21)\d{2})\D', 1), '') AS year_found FROM catalog_albums""",
     "matching_basis": f"""
 SELECT group_id, coalesce(nullif(concat_ws('+', CASE WHEN {_UUID.format('mb_release_id')} IS NOT NULL THEN 'musicbrainz' END, CASE WHEN {_GTIN} IS NOT NULL THEN 'upc' END), ''), 'legacy') AS basis FROM album_groups""",
     "url_allowlist": r"""
