@@ -27,6 +27,8 @@ SAMPLE = 10_000
 DIMENSION = 1 << 17
 #: Share of training values that are cut at random, as transfers do, and the weight of such an example.
 BROKEN_SHARE, BROKEN_WEIGHT = 0.05, 0.15
+#: A value counts as cut from these probabilities on: under a limit of its source, and without one, where cuts are rare.
+THRESHOLD, LOOSE_THRESHOLD = 0.5, 0.9
 MARKS = ("…", "...")
 
 
@@ -218,7 +220,7 @@ def _cut_examples(pdf: pd.DataFrame, found: list[dict], seed: int) -> pd.DataFra
 
 
 def scored(rows: DataFrame, key: str, fields: list[str], source: str) -> tuple[DataFrame, dict]:
-    """(source, field, value, n, p) for every distinct value of each source, p: how likely it is cut; and facts on the model.
+    """(source, field, value, n, free, p) for every distinct value of each source, p: how likely it is cut, free: the source has no limit there; and facts on the model.
 
     Null values give no rows and empty ones get p = 0. Equal values of one source get equal results. With no
     rows, or no value to train on, every p is 0.
@@ -256,7 +258,7 @@ def scored(rows: DataFrame, key: str, fields: list[str], source: str) -> tuple[D
     base = values.select("source", "field", "value", "n", F.when(F.col("free"), F.col("n")).otherwise(0).alias("own"), F.lit(0).alias("own_longer"), "free", limit_chars.alias("limit_chars"), limit_bytes.alias("limit_bytes"))
     examples = _cut_examples(sample, found, 7)
     if examples["label"].nunique() < 2:
-        return base.select("source", "field", "value", "n", F.lit(0.0).alias("p")), facts
+        return base.select("source", "field", "value", "n", "free", F.lit(0.0).alias("p")), facts
     train = _with_counts(spark.createDataFrame(examples), whole, counted, longer).toPandas()
     x, y = _feature_rows(train), train["label"].to_numpy(float)
     held = np.array([zlib.crc32(v.encode("utf-8", "surrogatepass")) % 10 == 0 for v in train["value"]])
@@ -282,11 +284,16 @@ def scored(rows: DataFrame, key: str, fields: list[str], source: str) -> tuple[D
         facts.setdefault("shifts", {})[(src, field)] = by = prior_shift(part["z"].to_numpy(), part["n"].to_numpy(), prior)
         shift = F.when((F.col("source") == src) & (F.col("field") == field), by).otherwise(shift)
     z = F.col("z") + F.when(F.col("free"), shift).otherwise(0.0)
-    return logits.select("source", "field", "value", "n", (1 / (1 + F.exp(-z))).alias("p")), facts
+    return logits.select("source", "field", "value", "n", "free", (1 / (1 + F.exp(-z))).alias("p")), facts
 
 
-def truncated_fields(rows: DataFrame, key: str, fields: list[str], source: str, threshold: float = 0.5) -> DataFrame:
-    """(key, field) of every value that is scored above `threshold`."""
-    hits = cut(scored(rows, key, fields, source)[0].where(F.col("p") > threshold).select("source", "field", "value"))
+def is_cut() -> Column:
+    """Condition on the rows of `scored`."""
+    return F.col("p") > F.when(F.col("free"), LOOSE_THRESHOLD).otherwise(THRESHOLD)
+
+
+def truncated_fields(rows: DataFrame, key: str, fields: list[str], source: str) -> DataFrame:
+    """(key, field) of every value that `is_cut`."""
+    hits = cut(scored(rows, key, fields, source)[0].where(is_cut()).select("source", "field", "value"))
     long = rows.select(F.col(key).alias("key"), F.col(source).alias("source"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("x")).select("key", "source", "x.field", "x.value").where("value IS NOT NULL")
     return long.join(hits, ["source", "field", "value"], "left_semi").select("key", "field")
