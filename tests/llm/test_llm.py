@@ -133,6 +133,26 @@ def test_releases(spark):
     assert releases.match_releases(groups.where("false"), albums).count() == 0
 
 
+def test_blocks_beyond_the_window_are_compared(spark):
+    schema = "id long, title string, artist string, year int, count int"
+    local = [(i, "Greatest Hits", "Various Artists", 1930 + 3 * (i % 30) if i % 3 else None, 10 + 3 * (i // 30)) for i in range(120)]
+    local += [(500 + i, f"{w} Night", "Other People", 1999, 12) for i, w in enumerate(["Qarden", *(f"Word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(40))])]
+    albums = [(1000 + i, "Greatest Hits", "Various Artists", 1930 + 3 * (i % 30) + 1, 10 + 3 * (i // 30)) for i in range(120)]
+    albums += [(1500, "Garden Night", "Other People", 1999, 12)]
+    prepare = lambda rows, side: [(side, i, releases.title_words(t), list(names.name_words(a)), [], "", y, c) for i, t, a, y, c in rows]
+    pool = frame(spark, prepare(local, 0) + prepare(albums, 1), releases.SCHEMA)
+    x, y = ([dict(zip(("side", "id", "title", "artist", "others", "label", "year", "count"), r, strict=True)) for r in prepare(rows, side)] for rows, side in ((local, 0), (albums, 1)))
+    for r in x + y:
+        r["artist"] = tuple(r["artist"])
+    brute = {(a["id"], b["id"]): releases.confidence(a, b) for a in x for b in y}
+    expected = {p: s for p, s in brute.items() if s >= releases.THRESHOLD}
+    longest = F.array_join(F.array_sort(F.filter("artist", lambda w: F.length(w) > 1)), " ")
+    got = {(r["local"], r["album"]): r["confidence"] for r in releases.equal_pairs(pool).unionByName(releases.same_artist_pairs(pool, longest)).collect()}
+    assert got == pytest.approx(expected) and (500, 1500) in got
+    groups, catalog = frame(spark, [(i, t, a, 1960, c) for i, t, a, _, c in local[:1]] + local[1:90], schema), frame(spark, albums[:90], schema)
+    assert releases.match_releases(groups, catalog).count() == 90
+
+
 def test_best_assignment_is_optimal():
     import itertools
 
