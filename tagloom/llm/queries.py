@@ -87,10 +87,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
-    """How often each tagger cuts each field."""
+    """How often each tagger cuts each field: values that count as cut, and the share estimated from all scores."""
     values, _ = truncation.scored(table(spark, d, "tracks"), "track_id", TEXT_FIELDS, "tagger")
     is_cut = F.when(truncation.is_cut(), F.col("n")).otherwise(0)
-    return values.groupBy(F.col("source").alias("tagger"), "field").agg(F.sum("n").alias("n_values"), F.sum(is_cut).alias("n_cut"), F.round(F.sum(is_cut) / F.sum("n"), 6).alias("rate"))
+    return values.groupBy(F.col("source").alias("tagger"), "field").agg(F.sum("n").alias("n_values"), F.sum(is_cut).alias("n_cut"), F.round(F.sum(is_cut) / F.sum("n"), 6).alias("rate"), F.round(F.sum(F.col("p") * F.col("n")) / F.sum("n"), 6).alias("estimated_rate"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -27,8 +27,10 @@ SAMPLE = 10_000
 DIMENSION = 1 << 17
 #: Share of training values that are cut at random, as transfers do, and the weight of such an example.
 BROKEN_SHARE, BROKEN_WEIGHT = 0.05, 0.15
-#: A value counts as cut from these probabilities on: under a limit of its source, and without one, where cuts are rare.
-THRESHOLD, LOOSE_THRESHOLD = 0.5, 0.9
+#: A value counts as cut from these probabilities on: under a limit of its source, and without one, where the share of cuts is estimated.
+THRESHOLD, LOOSE_THRESHOLD = 0.5, 0.5
+#: Where at least so many distinct values, and this share of the values that reach a length, stop there, it is a limit unless more than the last share of those of the other sources stop there too.
+STOPPED, STOP_SHARE, STOP_OTHERS = 8, 0.9, 0.3
 MARKS = ("…", "...")
 
 
@@ -134,14 +136,18 @@ def prior_shift(z: np.ndarray, n: np.ndarray, prior: float, rounds: int = 50) ->
 def limits(lengths: DataFrame) -> list[dict]:
     """The field limits of the sources: dicts of source, field, unit (chars or bytes) and limit.
 
-    `lengths` has (source, field, unit, length, n): one row per length, not per value. A limit is the length
-    beyond which a source has hardly any values though the others have, and at which its values pile up.
+    `lengths` has (source, field, unit, length, n, k): n rows and k distinct values, one row per length, not per
+    value. A limit is the length beyond which a source has hardly any values though the others have, and at which
+    its values pile up; or, however few values reach it, the length at which nearly all of those stop though those
+    of the others go on. Of a limit in characters and one in bytes, the one that explains the pile better is kept.
     """
     pdf = lengths.toPandas()  # sources x fields x lengths, not rows
-    out = []
+    out: dict[tuple[str, str], dict] = {}
     for (field, unit), part in pdf.groupby(["field", "unit"]):
+        distinct = part.pivot_table(index="length", columns="source", values="k", aggfunc="sum", fill_value=0)
         table = part.pivot_table(index="length", columns="source", values="n", aggfunc="sum", fill_value=0)
         table = table.reindex(range(0, int(table.index.max()) + 2), fill_value=0)
+        distinct = distinct.reindex(table.index, fill_value=0)
         beyond = table[::-1].cumsum()[::-1].shift(-1, fill_value=0)
         for source in table.columns:
             own, total = table[source], table[source].sum()
@@ -153,9 +159,16 @@ def limits(lengths: DataFrame) -> list[dict]:
             pile = own + own.shift(1, fill_value=0)
             before = (own.shift(2, fill_value=0) + own.shift(3, fill_value=0) + own.shift(4, fill_value=0) + own.shift(5, fill_value=0)) / 2
             good = (others > 0.01) & (mine < 0.15 * others) & (mine < 0.03) & (pile > 0.02 * total) & (pile > 0.3 * (others - mine) * total) & (pile > 1.2 * before)
+            # of the values that reach a length, the share that stops there, of this source and of the others
+            stop = own / (own + beyond[source]).clip(lower=1)
+            rest, rest_beyond = table.sum(axis=1) - own, beyond.sum(axis=1) - beyond[source]
+            good |= (distinct[source] >= STOPPED) & (stop >= STOP_SHARE) & (rest_beyond >= STOPPED) & (rest / (rest + rest_beyond).clip(lower=1) <= STOP_OTHERS)
             if good.any():
-                out.append({"source": source, "field": field, "unit": unit, "limit": int(own[good].index[np.argmax(own[good].to_numpy())])})
-    return out
+                limit = int(own[good].index[np.argmax(own[good].to_numpy())])
+                explained = int(own[limit] - beyond[source][limit])
+                if (source, field) not in out or explained > out[source, field]["explained"]:
+                    out[source, field] = {"source": source, "field": field, "unit": unit, "limit": limit, "explained": explained}
+    return list(out.values())
 
 
 def _limit_columns(found: list[dict], source: Column, field: Column) -> tuple[Column, Column]:
@@ -228,10 +241,8 @@ def scored(rows: DataFrame, key: str, fields: list[str], source: str) -> tuple[D
     spark = rows.sparkSession
     long = rows.select(F.col(source).alias("source"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("x")).select("source", "x.field", "x.value").where("value IS NOT NULL")
     values = cut(long.groupBy("source", "field", "value").agg(F.count("*").alias("n")))
-    lengths = values.where("value <> ''").select("source", "field", "n", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("value").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("value").alias("length")))).alias("x")).groupBy("source", "field", "x.unit", "x.length").agg(F.sum("n").alias("n"))
+    lengths = values.where("value <> ''").select("source", "field", "n", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("value").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("value").alias("length")))).alias("x")).groupBy("source", "field", "x.unit", "x.length").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
     found = limits(lengths)
-    exact = {(x["source"], x["field"]) for x in found if x["unit"] == "bytes"}
-    found = [x for x in found if x["unit"] == "bytes" or (x["source"], x["field"]) not in exact]
     limited = F.array(*(F.concat_ws("\x01", F.lit(x["source"]), F.lit(x["field"])) for x in found)) if found else F.array().cast("array<string>")
     values = values.withColumn("free", ~F.array_contains(limited, F.concat_ws("\x01", "source", "field")))
     marks = {(r["source"], r["field"]): r["share"] for r in values.where(~F.col("free")).groupBy("source", "field").agg((F.sum(F.when(F.col("value").endswith("…"), F.col("n"))) / F.sum("n")).alias("share")).collect()}
@@ -283,6 +294,14 @@ def scored(rows: DataFrame, key: str, fields: list[str], source: str) -> tuple[D
     for (src, field), part in histogram.groupby(["source", "field"]):
         facts.setdefault("shifts", {})[(src, field)] = by = prior_shift(part["z"].to_numpy(), part["n"].to_numpy(), prior)
         shift = F.when((F.col("source") == src) & (F.col("field") == field), by).otherwise(shift)
+    # recall on artificial broken transfers that the fit hasn't seen, under the shifts of the sources
+    seen = train[held]
+    broken = ((seen["label"] == 1) & (seen["limit_chars"] == 0) & (seen["limit_bytes"] == 0)).to_numpy()
+    odds, of = np.log(p / np.maximum(1 - p, 1e-12))[broken], seen["field"].to_numpy()[broken]
+    weight = histogram.groupby(["source", "field"])["n"].sum()
+    for least in (0.5, 0.9):
+        caught = [(((odds + by)[of == f] > np.log(least / (1 - least))).mean(), weight[src, f]) for (src, f), by in facts.get("shifts", {}).items() if (of == f).any()]
+        facts.setdefault("broken_recall", {})[least] = float(np.average([c for c, _ in caught], weights=[w for _, w in caught])) if caught else None
     z = F.col("z") + F.when(F.col("free"), shift).otherwise(0.0)
     return logits.select("source", "field", "value", "n", "free", (1 / (1 + F.exp(-z))).alias("p")), facts
 

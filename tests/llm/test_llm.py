@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,25 @@ def test_cut_values_are_found(spark):
     assert truncation.truncated_fields(df.where("false"), "id", ["title"], "tagger").count() == 0
 
 
+def test_limits_of_rare_and_multibyte_values():
+    class Lengths:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def toPandas(self):
+            return pd.DataFrame(self.rows, columns=["source", "field", "unit", "length", "n", "k"])
+
+    natural = lambda source, unit, add=0: [(source, "artist", unit, k + add, 40 if k > 20 else 2000, 30) for k in range(5, 60)]
+    short = [("short", "artist", "chars", k, 2000, 500) for k in range(5, 21)] + [("short", "artist", "chars", k, 3, 3) for k in range(21, 30)] + [("short", "artist", "chars", 30, 40, 30)]
+    wide = [("short", "artist", "bytes", k, n, d) for _, _, _, k, n, d in short[:-1]] + [("short", "artist", "bytes", k, n, n) for k, n in ((30, 18), (31, 14), (33, 4), (36, 4))]
+    got = truncation.limits(Lengths(natural("free", "chars") + natural("free", "bytes", 1) + short + wide))
+    assert [(x["source"], x["unit"], x["limit"]) for x in got] == [("short", "chars", 30)]
+    # a pile in both units is explained by characters if fewer values go beyond it
+    many = [("short", "artist", u, k, 400 if k < 30 else n, 100) for u, top in (("chars", {30: 2000}), ("bytes", {30: 1100, 31: 860, 34: 40})) for k, n in [*((k, 0) for k in range(5, 30)), *top.items()]]
+    got = truncation.limits(Lengths(natural("free", "chars") + natural("free", "bytes", 1) + many))
+    assert [(x["source"], x["unit"], x["limit"]) for x in got] == [("short", "chars", 30)]
+
+
 # problem 6
 def test_look_alikes(spark):
     rows = [(1, "Ｗａｉｔ"), (2, "éte"), (3, "a​b"), (4, "a b"), (5, "a‑b"), (6, "Gаrden"), (7, "Garden"), (8, "Мост море"), (9, "Wait…"), (10, None), (11, ""), (12, "Gаrdеn"), (13, "xуz")]
