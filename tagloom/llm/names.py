@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.components import components
@@ -31,8 +31,8 @@ COSINE, LINKAGE = 0.42, 0.34
 APART = -1.0
 #: A word is common (given name, adjective, kind of band) if at least this share of names, and at least so many, have it.
 COMMON_SHARE, COMMON_LEAST = 0.0008, 15
-#: Components of more names than this are cut at higher thresholds until each part fits one task.
-COMPONENT = 600
+#: Components of more names than this are clustered in distributed rounds instead of one task; names per tile of their table of pairs.
+COMPONENT, TILE = 600, 500
 
 # Short forms of English given names and their full forms.
 NICKNAMES = """
@@ -259,27 +259,66 @@ def acts(names: DataFrame, key: str, name: str, cosine: float = COSINE, linkage:
 def clustered(links: DataFrame, described: DataFrame, linkage: float, size: int = COMPONENT) -> DataFrame:
     """(id, act) by average linkage inside the components of the links (x, y, sim); `described` has id, words and common words c.
 
-    A component of more than `size` names is first cut at higher and higher similarities, which only
-    separates names whose direct similarity is lower than that of names kept together.
+    A component of more than `size` names is clustered over the table of all its pairs by rounds of mutual best
+    merges, which come out as one merge after another does because averages never grow by merging others.
     """
-    level, todo, out = 0.0, links, None
+    links = cut(links)
+    parts = cut(components(links.where("sim > 0"), "x", "y"))
+    big = cut(parts.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > size).select("component"))
+    ends = parts.select(F.col("node").alias("y"), F.col("component").alias("other"))
+    edges = cut(links.join(parts.select(F.col("node").alias("x"), "component"), "x").join(ends, "y").where("component = other").drop("other"))
+    small = edges.join(big, "component", "left_anti")
+    text = described.select("id", F.array_join("words", " ").alias("w"), F.array_join("c", " ").alias("c"))
+    small = small.join(text.toDF("x", "wx", "cx"), "x").join(text.toDF("y", "wy", "cy"), "y").select("component", "x", "y", "sim", "wx", "cx", "wy", "cy")
+    out = grouped_rows(small, "component", ["x", "y"], _cluster(linkage), "id long, act long")
+    if big.isEmpty():
+        return out
+    nodes = parts.join(big, "component").select(F.col("node").alias("id"), "component").join(text, "id")
+    linked = edges.join(big, "component").select("x", "y", "sim")
+    other = agreeing_pairs(nodes).join(linked, ["x", "y"], "left_anti").withColumn("sim", F.lit(0.5))
+    return out.unionByName(merged(nodes.select("id"), linked.where("sim > 0").unionByName(other), linkage))
+
+
+def agreeing_pairs(nodes: DataFrame) -> DataFrame:
+    """(x, y): all pairs x < y of one component whose words agree; `nodes` has id, component, words w and common words c.
+
+    Every tile of a component meets every other one in a group of its own.
+    """
+    tiled = nodes.withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("component").orderBy("id")) - 1) / TILE).cast("int"))
+    tiled = cut(tiled.withColumn("last", F.max("tile").over(Window.partitionBy("component"))))
+    met = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    met = met.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        rows = [(i, t, tuple(w.split(" ")), set(c.split(" "))) for i, t, w, c in zip(pdf["id"], pdf["tile"], pdf["w"], pdf["c"], strict=True)]
+        rows.sort(key=lambda r: r[0])
+        found = [(a[0], b[0]) for k, a in enumerate(rows) for b in rows[k + 1 :] if (same or a[1] != b[1]) and agree(a[2], b[2], a[3] | b[3])]
+        return pd.DataFrame(found, columns=["x", "y"]).astype("int64")
+
+    return met.groupBy("component", "i", "j").applyInPandas(run, "x long, y long")
+
+
+def merged(nodes: DataFrame, pairs: DataFrame, linkage: float) -> DataFrame:
+    """(id, act): average linkage of `nodes` (id) in distributed rounds; pairs that `pairs` (x, y, sim) doesn't list are `APART`.
+
+    In a round every two clusters that are the best of each other merge; ties go to the smallest first members.
+    """
+    of = cut(nodes.select("id", F.col("id").alias("act")))
+    table = cut(pairs.select("x", "y", (F.col("sim") - APART).alias("total")))
     while True:
-        parts = cut(components(todo.where("sim > 0"), "x", "y"))
-        ends = parts.select(F.col("node").alias("y"), F.col("component").alias("other"))
-        edges = todo.join(parts.select(F.col("node").alias("x"), "component"), "x").join(ends, "y").where("component = other").drop("other")
-        edges = cut(edges)
-        big = edges.groupBy("component").agg(F.countDistinct("x").alias("m")).where(F.col("m") > size).select("component")
-        small = edges.join(big, "component", "left_anti")
-        text = described.select("id", F.array_join("words", " ").alias("w"), F.array_join("c", " ").alias("c"))
-        small = small.join(text.toDF("x", "wx", "cx"), "x").join(text.toDF("y", "wy", "cy"), "y").select("component", "x", "y", "sim", "wx", "cx", "wy", "cy")
-        done = grouped_rows(small, "component", ["x", "y"], _cluster(linkage), "id long, act long")
-        out = done if out is None else out.unionByName(done)
-        if level >= 0.99 or big.isEmpty():
-            return out
-        level = max(level, 0.75) + 0.03
-        todo = cut(edges.join(big, "component").where((F.col("sim") >= level) | (F.col("sim") < 0)).select("x", "y", "sim"))
-        if todo.isEmpty():
-            return out
+        sizes = of.groupBy("act").agg(F.count("*").alias("n"))
+        met = table.join(sizes.toDF("x", "nx"), "x").join(sizes.toDF("y", "ny"), "y")
+        near = cut(met.select("x", "y", (F.col("total") / (F.col("nx") * F.col("ny")) + APART).alias("mean")).where(F.col("mean") >= linkage))
+        if near.isEmpty():
+            return of
+        top = F.max(F.struct("mean", (-F.col("x")).alias("x"), (-F.col("y")).alias("y"))).alias("top")
+        best = near.withColumn("end", F.explode(F.array("x", "y"))).groupBy("end").agg(top).select((-F.col("top.x")).alias("x"), (-F.col("top.y")).alias("y"))
+        into = cut(best.groupBy("x", "y").count().where("count = 2").select("y", "x").toDF("old", "into"))
+        of = cut(of.join(into, of["act"] == into["old"], "left").select("id", F.coalesce("into", "act").alias("act")))
+        for end in ("x", "y"):
+            table = table.join(into.toDF(end, "into"), end, "left").withColumn(end, F.coalesce("into", end)).drop("into")
+        table = cut(table.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "total").groupBy("x", "y").agg(F.sum("total").alias("total")))
 
 
 def act_pairs(found: DataFrame) -> DataFrame:

@@ -128,6 +128,19 @@ def test_acts(spark):
     assert names.acts(df.where("false"), "k", "name").count() == 0
 
 
+def test_large_components_cluster_as_small_ones(spark, monkeypatch):
+    rng = random.Random(12)
+    given, family = ["anton", "bertha", "casimir", "dora", "a", "b", "c"], ["zarnetur", "zarnetor", "zarnetux"]
+    words = sorted({tuple(sorted({rng.choice(family), *rng.sample(given, rng.randrange(1, 3))})) for _ in range(60)})
+    described = frame(spark, [(3 * i, list(w), []) for i, w in enumerate(words)], "id long, words array<string>, c array<string>")
+    pairs = [(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if j == i + 1 or rng.random() < 0.6]
+    links = frame(spark, [(3 * i, 3 * j, 0.5 + rng.uniform(0.42, 1) / 2 if names.agree(words[i], words[j], frozenset()) else -1.0) for i, j in pairs], "x long, y long, sim double")
+    monkeypatch.setattr(names, "TILE", 7, raising=False)
+    whole = {(r["id"], r["act"]) for r in names.clustered(links, described, names.LINKAGE).collect()}
+    assert {(r["id"], r["act"]) for r in names.clustered(links, described, names.LINKAGE, size=2).collect()} == whole
+    assert 1 < len({act for _, act in whole}) < len(whole)
+
+
 def test_similar_pairs_lose_nothing(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(3, 9))) for _ in range(60)]
