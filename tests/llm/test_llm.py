@@ -186,6 +186,15 @@ def test_blocks_beyond_the_window_are_compared(spark):
     assert releases.match_releases(groups, catalog).count() == 90
 
 
+def test_copies_with_other_tags_keep_the_album_of_their_release(spark):
+    schema = "id long, title string, artist string, year int, count int"
+    words = "Silver Garden of Sorrows"
+    groups = frame(spark, [(1, words, "The Wolves", 2000, 10), (2, words, "The Wolves", None, 10), (3, words, "The Wolves", 2000, 9), (4, "Silver Gardn of Sorrows", "The Wolves", 2000, 10), (5, words, "The Wolves", 2015, 10), (6, words, "The Wolves", 2003, 12), (7, words, "The Wolves", 2004, 12)], schema)
+    albums = frame(spark, [(10, words, "The Wolves", 2000, 10), (12, words + " (2015 Remaster)", "The Wolves", 2015, 10), (13, words, "The Wolves", None, None), (14, words, "The Wolves", 2003, 12), (15, words, "The Wolves", 2004, 12)], schema)
+    got = {r["group_id"]: r["collection_id"] for r in releases.match_releases(groups, albums).collect()}
+    assert got == {1: 10, 2: 10, 3: 10, 4: 10, 5: 12, 6: 14, 7: 15}
+
+
 def test_best_assignment_is_optimal():
     import itertools
 
