@@ -1,12 +1,12 @@
 """Problem 1: variant spellings of names typed by people.
 
 Method: names become weighted vectors of character n-grams; a distributed sparse cosine join finds all
-pairs above a threshold (n-grams ordered by rarity, prefix filtering, so common n-grams never meet);
-the thresholded graph falls into components, and average-linkage clustering groups each component.
+pairs above a threshold (n-grams ordered by rarity, prefix filtering, sparse blocks multiplied per n-gram);
+the thresholded graph falls into components, and average-linkage clustering of the cosines groups each.
 All pairs above the threshold are kept instead of the n best of each name, so that no link is lost.
 
-A pair counts only if its words agree: two different full given names, or two different initials, are
-two people whatever their family name.
+One feature besides the cosine: a link whose words contradict each other loses `APART`, as two different
+full given names, or two different initials, are two people whatever their family name.
 """
 
 from __future__ import annotations
@@ -22,17 +22,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.components import components
+from tagloom.operators.skew import lookup_join
 from tagloom.operators.streamed import grouped_rows
 from tagloom.session import cut
 
-#: Cosine below which two names are never linked, and average similarity below which clusters stay apart.
-COSINE, LINKAGE = 0.42, 0.34
-#: Similarity of a pair whose words contradict each other; a pair below the cosine whose words agree counts 0.5.
-APART = -1.0
+#: Cosine below which two names have no link, and average similarity below which clusters stay apart.
+COSINE, LINKAGE = 0.42, 0.1
+#: What a link loses where the words contradict each other.
+APART = 1.5
 #: A word is common (given name, adjective, kind of band) if at least this share of names, and at least so many, have it.
 COMMON_SHARE, COMMON_LEAST = 0.0008, 15
-#: Components of more names than this are clustered in distributed rounds instead of one task; names per tile of their table of pairs.
-COMPONENT, TILE = 600, 500
+#: Components of more names than this are clustered in distributed rounds instead of one task, with the same result.
+COMPONENT = 600
+#: Rows of a tile where one n-gram has more names; vectors of more n-grams than the second number are not sent to blocks.
+TILE, LONG = 500, 400
 
 # Short forms of English given names and their full forms.
 NICKNAMES = """
@@ -148,28 +151,66 @@ def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pdf["id"], "words": [list(w) for w in words], "grams": [ngrams(w) for w in words]})
 
 
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    """(id, v): `vectors` (id, grams) as arrays of (code, df, w) from rare n-grams to common ones, of length 1."""
+    grams = vectors.select("id", F.explode("grams").alias("g"))
+    counted = grams.groupBy("g").agg(F.count("*").alias("df"))
+    # codes follow the order of rarity over all range partitions
+    coded = cut(counted.repartitionByRange("df", "g").sortWithinPartitions("df", "g").withColumn("code", F.monotonically_increasing_id()).withColumn("rows", F.col("df")))
+    n, total = vectors.count(), coded.agg(F.sum("df")).first()[0] or 0
+    weighted = lookup_join(grams, coded, "g", "rows", total).withColumn("w", F.log(F.lit(float(n + 1)) / F.col("df")) + 0.1)
+    arrays = weighted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("code", "df", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return cut(arrays.select("id", F.transform("v", lambda x: F.struct(x["code"].alias("code"), x["df"].alias("df"), (x["w"] / F.col("norm")).alias("w"))).alias("v")))
+
+
+def _block_cosines(cosine: float):
+    """Rows (id, tile, codes, weights) that share an n-gram of their prefixes -> (x, y, cosine) of the pairs that reach the cosine."""
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        if len(rows) < 2:
+            return []
+        rows.sort(key=lambda r: r[0])
+        ids, tiles = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        codes, at = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
+        matrix = np.zeros((len(rows), len(codes)))
+        matrix[np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows]), at] = np.concatenate([r[3] for r in rows])
+        close_by = np.triu(matrix @ matrix.T, 1)
+        if tiles.min() != tiles.max():
+            close_by[tiles[:, None] == tiles[None, :]] = 0
+        i, j = np.nonzero(close_by >= cosine)
+        return list(zip(ids[i].tolist(), ids[j].tolist(), close_by[i, j].round(9).tolist(), strict=True))
+
+    return run
+
+
 def similar_pairs(vectors: DataFrame, cosine: float) -> DataFrame:
     """(x, y, cosine) of all pairs x < y of `vectors` (id, grams) with at least that cosine, by prefix filtering.
 
     The n-grams of a vector are ordered from rare to common; those after which the rest is shorter than the
-    threshold can't reach it alone, so a pair that does shares an n-gram before them on both sides.
+    threshold can't reach it alone, so a pair that does shares an n-gram before them on both sides. The vectors
+    that share one are multiplied as a sparse block, in tiles of about `TILE` rows where an n-gram has more.
+    Vectors of more than `LONG` n-grams (texts, not names) don't travel with each of their n-grams; their pairs are
+    found by ids first.
     """
-    grams = vectors.select("id", F.explode("grams").alias("g"))
-    df = grams.groupBy("g").agg(F.count("*").alias("df"))
-    n = vectors.count()
-    weighted = grams.join(df, "g").withColumn("w", F.log(F.lit(float(n + 1)) / F.col("df")) + 0.1)
-    unit = weighted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g", "w"))).alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])))
-    unit = unit.select("id", F.transform("v", lambda x: F.struct(x["g"].alias("g"), (x["w"] / F.col("norm")).alias("w"))).alias("v"))
-    unit = cut(unit)
-    # cumulative squared length from the rare end decides how long the prefix is
-    limit = 1 - cosine * cosine
+    unit = unit_vectors(vectors)
+    limit = 1 - cosine * cosine  # the squared length from the rare end on tells where the prefix ends
     sums = F.aggregate("v", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k")), lambda acc, x: F.struct((acc["s"] + x["w"] * x["w"]).alias("s"), (acc["k"] + F.when(acc["s"] <= limit, 1).otherwise(0)).alias("k")))
-    prefix = unit.select("id", F.explode(F.slice("v", F.lit(1), sums["k"])).alias("x")).select("id", F.col("x.g").alias("g"))
-    pairs = prefix.alias("p").join(prefix.alias("q"), (F.col("p.g") == F.col("q.g")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("x"), F.col("q.id").alias("y")).distinct()
-    left = unit.select(F.col("id").alias("x"), F.map_from_entries("v").alias("vx"))
-    right = unit.select(F.col("id").alias("y"), F.col("v").alias("vy"))
-    dot = F.aggregate("vy", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at("vx", e["g"]), F.lit(0.0)))
-    return pairs.join(left, "x").join(right, "y").select("x", "y", dot.alias("cosine")).where(F.col("cosine") >= cosine)
+    prefix = F.explode(F.slice("v", F.lit(1), sums["k"])).alias("x")
+    # an n-gram of one name meets nothing
+    short = unit.where(F.size("v") <= LONG).select("id", "v", prefix).where("x.df > 1")
+    tiles = F.ceil(F.col("x.df") / TILE).cast("int")
+    placed = short.withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    block = F.concat_ws(".", "x.code", F.least("tile", "other"), F.greatest("tile", "other"))
+    blocks = placed.select(block.alias("block"), "id", "tile", F.col("v.code").alias("codes"), F.col("v.w").alias("weights"))
+    found = grouped_rows(blocks, "block", [], _block_cosines(cosine), "x long, y long, cosine double")
+    long = cut(unit.where(F.size("v") > LONG))
+    if not long.isEmpty():
+        ends = unit.select(F.col("id").alias("b"), prefix).select("b", "x.code")
+        met = long.select(F.col("id").alias("a"), prefix).select("a", "x.code").join(ends, "code").where("a <> b").select("a", "b").distinct()
+        met = met.join(long.select(F.col("id").alias("a"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["code"], x["w"]))).alias("va")), "a").join(unit.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+        dot = F.aggregate("vb", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at("va", e["code"]), F.lit(0.0)))
+        found = found.unionByName(met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.round(dot, 9).alias("cosine")).where(F.col("cosine") >= cosine))
+    return found.groupBy("x", "y").agg(F.max("cosine").alias("cosine"))
 
 
 def average_linkage(n: int, sims: dict[tuple[int, int], float], threshold: float) -> list[int]:
@@ -211,13 +252,12 @@ def _cluster(threshold: float):
         words = {r[0]: (tuple(r[3].split(" ")), set(r[4].split(" "))) for r in rows} | {r[1]: (tuple(r[5].split(" ")), set(r[6].split(" "))) for r in rows}
         ids = sorted(words)
         at = {v: i for i, v in enumerate(ids)}
-        sims = {tuple(sorted((at[r[0]], at[r[1]]))): r[2] for r in rows}
-        # pairs below the cosine still count for or against: their words agree or contradict each other
+        sims = {(at[r[0]], at[r[1]]): r[2] for r in rows}
         for i, x in enumerate(ids):
             for j in range(i + 1, len(ids)):
                 if (i, j) not in sims:
                     (wx, cx), (wy, cy) = words[x], words[ids[j]]
-                    sims[i, j] = 0.5 if agree(wx, wy, cx | cy) else APART
+                    sims[i, j] = 0.0 if agree(wx, wy, cx | cy) else -APART
         labels = average_linkage(len(ids), sims, threshold)
         return [(i, ids[k]) for i, k in zip(ids, labels, strict=True)]
 
@@ -227,8 +267,7 @@ def _cluster(threshold: float):
 def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yes = np.array([agree(tuple(a), tuple(b), set(ca) | set(cb)) for a, b, ca, cb in zip(pdf["wx"], pdf["wy"], pdf["cx"], pdf["cy"], strict=True)], bool)
-        # agreement of all words is half the evidence, the cosine the other half
-        yield pdf[["x", "y"]].assign(sim=np.where(yes, 0.5 + pdf["cosine"].to_numpy() / 2, APART))
+        yield pdf[["x", "y"]].assign(sim=pdf["cosine"].to_numpy() - np.where(yes, 0.0, APART))
 
 
 def acts(names: DataFrame, key: str, name: str, cosine: float = COSINE, linkage: float = LINKAGE) -> DataFrame:
@@ -257,26 +296,27 @@ def acts(names: DataFrame, key: str, name: str, cosine: float = COSINE, linkage:
 
 
 def clustered(links: DataFrame, described: DataFrame, linkage: float, size: int = COMPONENT) -> DataFrame:
-    """(id, act) by average linkage inside the components of the links (x, y, sim); `described` has id, words and common words c.
+    """(id, act) by average linkage of the links (x, y, sim); `described` has id, words and common words c.
 
-    A component of more than `size` names is clustered over the table of all its pairs by rounds of mutual best
-    merges, which come out as one merge after another does because averages never grow by merging others.
+    Pairs of one component without a link have similarity 0, or -APART if their words contradict each other. Only
+    names joined by positive links can merge, so components are clustered apart. One of more than `size` names is
+    not gathered but clustered by distributed rounds of mutual best merges, with the same result: averages never
+    grow by merging others, so such merges come out whatever their order.
     """
     links = cut(links)
     parts = cut(components(links.where("sim > 0"), "x", "y"))
     big = cut(parts.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > size).select("component"))
     ends = parts.select(F.col("node").alias("y"), F.col("component").alias("other"))
-    edges = cut(links.join(parts.select(F.col("node").alias("x"), "component"), "x").join(ends, "y").where("component = other").drop("other"))
-    small = edges.join(big, "component", "left_anti")
+    edges = cut(links.join(parts.select(F.col("node").alias("x"), "component"), "x").join(ends, "y").where("component = other").select("component", "x", "y", "sim"))
     text = described.select("id", F.array_join("words", " ").alias("w"), F.array_join("c", " ").alias("c"))
-    small = small.join(text.toDF("x", "wx", "cx"), "x").join(text.toDF("y", "wy", "cy"), "y").select("component", "x", "y", "sim", "wx", "cx", "wy", "cy")
+    small = edges.join(big, "component", "left_anti").join(text.toDF("x", "wx", "cx"), "x").join(text.toDF("y", "wy", "cy"), "y").select("component", "x", "y", "sim", "wx", "cx", "wy", "cy")
     out = grouped_rows(small, "component", ["x", "y"], _cluster(linkage), "id long, act long")
     if big.isEmpty():
         return out
     nodes = parts.join(big, "component").select(F.col("node").alias("id"), "component").join(text, "id")
     linked = edges.join(big, "component").select("x", "y", "sim")
-    other = agreeing_pairs(nodes).join(linked, ["x", "y"], "left_anti").withColumn("sim", F.lit(0.5))
-    return out.unionByName(merged(nodes.select("id"), linked.where("sim > 0").unionByName(other), linkage))
+    other = agreeing_pairs(nodes).join(linked, ["x", "y"], "left_anti").withColumn("sim", F.lit(0.0))
+    return out.unionByName(merged(nodes.select("id"), linked.unionByName(other), linkage))
 
 
 def agreeing_pairs(nodes: DataFrame) -> DataFrame:
@@ -300,16 +340,16 @@ def agreeing_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def merged(nodes: DataFrame, pairs: DataFrame, linkage: float) -> DataFrame:
-    """(id, act): average linkage of `nodes` (id) in distributed rounds; pairs that `pairs` (x, y, sim) doesn't list are `APART`.
+    """(id, act): average linkage of `nodes` (id) in distributed rounds; pairs that `pairs` (x, y, sim) doesn't list are at -APART.
 
     In a round every two clusters that are the best of each other merge; ties go to the smallest first members.
     """
     of = cut(nodes.select("id", F.col("id").alias("act")))
-    table = cut(pairs.select("x", "y", (F.col("sim") - APART).alias("total")))
+    table = cut(pairs.select("x", "y", (F.col("sim") + APART).alias("total")))
     while True:
         sizes = of.groupBy("act").agg(F.count("*").alias("n"))
         met = table.join(sizes.toDF("x", "nx"), "x").join(sizes.toDF("y", "ny"), "y")
-        near = cut(met.select("x", "y", (F.col("total") / (F.col("nx") * F.col("ny")) + APART).alias("mean")).where(F.col("mean") >= linkage))
+        near = cut(met.select("x", "y", (F.col("total") / (F.col("nx") * F.col("ny")) - APART).alias("mean")).where(F.col("mean") >= linkage))
         if near.isEmpty():
             return of
         top = F.max(F.struct("mean", (-F.col("x")).alias("x"), (-F.col("y")).alias("y"))).alias("top")

@@ -134,14 +134,21 @@ def test_large_components_cluster_as_small_ones(spark, monkeypatch):
     words = sorted({tuple(sorted({rng.choice(family), *rng.sample(given, rng.randrange(1, 3))})) for _ in range(60)})
     described = frame(spark, [(3 * i, list(w), []) for i, w in enumerate(words)], "id long, words array<string>, c array<string>")
     pairs = [(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if j == i + 1 or rng.random() < 0.6]
-    links = frame(spark, [(3 * i, 3 * j, 0.5 + rng.uniform(0.42, 1) / 2 if names.agree(words[i], words[j], frozenset()) else -1.0) for i, j in pairs], "x long, y long, sim double")
+    links = frame(spark, [(3 * i, 3 * j, rng.uniform(0.42, 1) - (0.0 if names.agree(words[i], words[j], frozenset()) else names.APART)) for i, j in pairs], "x long, y long, sim double")
     monkeypatch.setattr(names, "TILE", 7, raising=False)
     whole = {(r["id"], r["act"]) for r in names.clustered(links, described, names.LINKAGE).collect()}
     assert {(r["id"], r["act"]) for r in names.clustered(links, described, names.LINKAGE, size=2).collect()} == whole
     assert 1 < len({act for _, act in whole}) < len(whole)
+    # a full clique stays one act whatever the bound
+    clique = frame(spark, [(1, 2, 0.72), (1, 3, 0.72), (2, 3, 0.72)], "x long, y long, sim double")
+    for size in (600, 2):
+        assert {(r["id"], r["act"]) for r in names.clustered(clique, frame(spark, [(i, ["zarnetur"], []) for i in (1, 2, 3)], described.schema), names.LINKAGE, size=size).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
-def test_similar_pairs_lose_nothing(spark):
+@pytest.mark.parametrize("tile,long", [(500, 400), (7, 4), (500, 0)])
+def test_similar_pairs_lose_nothing(spark, monkeypatch, tile, long):
+    monkeypatch.setattr(names, "TILE", tile)
+    monkeypatch.setattr(names, "LONG", long)
     rng = random.Random(2)
     texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(3, 9))) for _ in range(60)]
     vectors = frame(spark, [(i, names.ngrams((t,))) for i, t in enumerate(texts)], "id long, grams array<string>")
