@@ -240,7 +240,6 @@ def verdicts(counted: DataFrame, more: DataFrame | None = None) -> DataFrame:
     question = question.where(F.col("chunk").contains("�") | (~F.col("chunk").rlike(r"[^\x00-\x7F]") & (F.col("inner") | F.col("fit"))))
     one = (F.col("holes") == 1) & F.col("clear")
     shaped = F.when(F.col("chunk") == F.upper("chunk"), F.upper("word")).when(F.substring("chunk", 1, 1).rlike(r"[\p{Lu}?\x{FFFD}]"), F.initcap("word")).otherwise(F.col("word"))
-    start = F.locate_mask if False else F.expr("instr(lower(translate(chunk, '�', '?')), mask)")
     whole = F.concat(F.expr("substr(chunk, 1, instr(lower(translate(chunk, '�', '?')), mask) - 1)"), shaped, F.expr("substr(chunk, instr(lower(translate(chunk, '�', '?')), mask) + length(mask))"))
     question = question.select("chunk", F.when(one, whole).alias("filled"))
     both = found.select("chunk", "restored", F.lit(False).alias("lossy")).join(question, "chunk", "full")

@@ -127,7 +127,7 @@ def p7_matches(spark: SparkSession, d: str) -> DataFrame:
     """Each local release with its catalog album and the confidence of the match."""
     groups = table(spark, d, "album_groups").select(F.col("group_id").alias("id"), F.col("album").alias("title"), F.col("album_artist").alias("artist"), "year", F.col("track_count").alias("count"))
     albums = table(spark, d, "catalog_albums").select(F.col("collection_id").alias("id"), F.col("album").alias("title"), "artist", F.col("release_year").alias("year"), F.col("track_count").alias("count"))
-    more = [(albums, ["title", "artist"])]
+    more = [(albums, ["title", "artist"]), (table(spark, d, "catalog_tracks"), ["title", "artist"])]
     fields = ["title", "artist"]
     repaired = encoding.restore(groups, "id", fields, encoding.garbled_fields(groups, "id", fields, more)).where("restored IS NOT NULL")
     by_id = repaired.groupBy(F.col("key").alias("id")).agg(*(F.max(F.when(F.col("field") == f, F.col("restored"))).alias(f"r_{f}") for f in fields))
