@@ -86,7 +86,8 @@ def close(a: str, b: str) -> bool:
         return True
     short, long = sorted((len(a), len(b)))
     limit = 0 if short < 3 else 1 if long < 8 else 2
-    if long - short > limit:
+    # an edit changes at most two letters of the sets
+    if long - short > limit or len(set(a) ^ set(b)) > 2 * limit:
         return False
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
