@@ -35,8 +35,7 @@ def with_keys(tracks: DataFrame) -> DataFrame:
     owner = F.coalesce(F.expr("nullif(album_artist, '')"), F.col("artist"))
     t = usable(tracks).withColumn("owner", owner)
     t = t.withColumn("album_n", text.fold_udf("album")).withColumn("owner_n", text.fold_udf("owner"))
-    # folder names are folded where a file has any beyond ASCII; the rest stays inside codegen
-    t = t.withColumn("folders_n", F.transform(paths.folders(F.col("path")), lambda s: F.trim(F.regexp_replace(F.lower(s), r"(?U)[^\w]+", " "))))
+    t = t.withColumn("folders_n", text.folders_udf("path"))
     t = t.withColumn("anchor", paths.release_folder(F.col("path"), F.col("album_n"), F.col("folders_n")))
     t = t.withColumn("release_id", ids.uuid(F.col("mb_release_id"))).withColumn("recording_id", ids.uuid(F.col("mb_recording_id"))).withColumn("gtin", ids.barcode(F.col("barcode")))
     return t.withColumn("tag_key", F.xxhash64(F.lit("t"), "owner_n", "album_n", "anchor")).drop("folders_n")
@@ -65,7 +64,8 @@ def releases(members: DataFrame) -> DataFrame:
         several("release_id").alias("ids_differ"), several(F.lpad("gtin", 14, "0")).alias("codes_differ"),
         (F.bool_and(F.col("release_id").isNotNull() & F.col("recording_id").isNotNull()) & (F.count_distinct("release_id") == 1)).alias("provenance_complete"),
     )
-    place = members.where("recording_id IS NOT NULL AND track_number IS NOT NULL").groupBy("component", F.coalesce("disc_number", F.lit(1)).alias("d"), "track_number", "title").agg(F.count_distinct("recording_id").alias("n"))
+    place = members.where("recording_id IS NOT NULL AND track_number IS NOT NULL").groupBy("component", F.coalesce("disc_number", F.lit(1)).alias("d"), "track_number", "title", "recording_id").count()
+    place = place.withColumn("identity", text.duplicate_identity_udf("title")).groupBy("component", "d", "track_number", "identity").agg(F.count_distinct("recording_id").alias("n"))
     clash = place.groupBy("component").agg((F.max("n") > 1).alias("recordings_differ"))
     agg = agg.join(clash, "component", "left")
     conflicts = F.array_compact(F.array(F.when(F.col("ids_differ"), "release ids differ"), F.when(F.col("codes_differ"), "barcodes differ"), F.when(F.col("recordings_differ"), "recording ids differ at one position")))

@@ -1,8 +1,8 @@
 """Scores of local releases against catalog albums: candidates, track pairs, features and decision.
 
-Candidates come from an equi-join on the artist block; text is folded once per row beforehand, cheap
-comparisons run before the sequence ratio, and only pairs of tracks that share a position, an identity or
-a rare enough word are compared.
+Candidates come from an equi-join on the artist block and a word or the count of the album; text is folded once
+per row beforehand, cheap bounds run before the sequence ratio, and only pairs of tracks that share a position,
+an identity or a rare enough word are compared.
 """
 
 from __future__ import annotations
@@ -17,26 +17,52 @@ from tagloom.session import cut
 #: A search keeps so many rows of a group; gates of album similarity and of pair titles.
 SEARCH_ROWS, ALBUM_GATE, TITLE_GATE = 12, 0.62, 0.93
 LEAST_SCORE, LEAST_MARGIN = 0.92, 0.10
-# Weights of the total, in the order in which they are added.
+#: Letters a word on average from which albums without a common word may still be alike.
+LONG_WORDS = 9
+# Weights of the total, in the order in which they are added.
 WEIGHTS = {"album": 0.20, "artist": 0.15, "track_artist": 0.05, "track_title": 0.25, "duration": 0.20, "topology": 0.10, "year": 0.05}
 
 
+def _named(rows: DataFrame, prefix: str, key: str, *names: str) -> DataFrame:
+    """Rows with their folded album and artist, the artist block, and the keys under which similar albums or equal counts meet."""
+    album, artist, year, count = names
+    r = rows.select(key, F.col(album).alias("album"), F.col(artist).alias("artist"), F.col(year).alias("year"), F.col(count).alias("count")).where(F.col(artist).isNotNull())
+    r = r.withColumn("artist", text.fold_udf("artist")).withColumn("album", F.coalesce(text.fold_udf("album"), F.lit(""))).where("artist <> ''")
+    words = F.array_distinct(F.filter(F.split("album", " "), lambda w: w != ""))
+    # without a common word the sequence ratio must be over 0.95, which takes words of 11 letters and more on average
+    long = F.length("album") >= LONG_WORDS * F.size(words)
+    keys = F.array_compact(F.concat(F.transform(words, lambda w: F.concat(F.lit("="), w)), F.array(F.concat(F.lit("#"), F.col("count").cast("string")), F.when(long, F.lit("*")))))
+    r = r.select(key, text.artist_block(F.col("artist")).alias("block"), keys.alias("keys"), F.struct("album", "artist", words.alias("words"), "year", "count").alias(prefix))
+    return cut(r)
+
+
 def album_search(groups: DataFrame, albums: DataFrame) -> DataFrame:
     """Ranked candidates (group_id, collection_id, place, search_score).
 
     `groups`: group_id, album, album_artist, year, track_count; `albums`: collection_id, album, artist,
     release_year, track_count. A pair needs equivalent artists, and similar albums or equal counts.
+
+    Inside an artist's block only albums meet that share a word or the count, so a block of very many albums falls
+    apart into as many keys. Pairs that can't reach the gate by their lengths and words drop out before the
+    sequence ratio, which runs once per distinct pair of album names.
     """
-    g = groups.select("group_id", F.col("album").alias("g_album"), F.col("album_artist").alias("g_artist"), F.col("year").alias("g_year"), F.col("track_count").alias("g_count")).where("g_artist IS NOT NULL")
-    a = albums.select("collection_id", F.col("album").alias("c_album"), F.col("artist").alias("c_artist"), F.col("release_year").alias("c_year"), F.col("track_count").alias("c_count")).where("c_artist IS NOT NULL")
-    g = cut(g.withColumn("g_artist_n", text.fold_udf("g_artist")).withColumn("block", text.artist_block(F.col("g_artist_n"))))
-    a = cut(a.withColumn("c_artist_n", text.fold_udf("c_artist")).withColumn("block", text.artist_block(F.col("c_artist_n"))))
-    pairs = g.join(a, "block").where(text.artist_match(F.col("g_artist_n"), F.col("c_artist_n")))
-    exact = F.coalesce(F.col("g_count") == F.col("c_count"), F.lit(False))
-    near = F.coalesce(F.abs(F.col("g_year") - F.col("c_year")) <= 1, F.lit(True))
-    scored = pairs.withColumn("album_score", text.similarity_udf("g_album", "c_album")).withColumn("artist_score", text.similarity_udf("g_artist", "c_artist"))
-    scored = scored.where((F.col("album_score") >= ALBUM_GATE) | exact)
-    total = 0.52 * F.col("album_score") + 0.33 * F.col("artist_score") + 0.10 * exact.cast("double") + 0.05 * near.cast("double")
+    g, a = _named(groups, "g", "group_id", "album", "album_artist", "year", "track_count"), _named(albums, "c", "collection_id", "album", "artist", "release_year", "track_count")
+    spread = lambda df, key, side: df.select(key, "block", F.explode("keys").alias("key"), side)
+    met = spread(g, "group_id", "g").join(spread(a, "collection_id", "c"), ["block", "key"]).where(text.artist_match(F.col("g.artist"), F.col("c.artist")))
+    exact = F.coalesce(F.col("g.count") == F.col("c.count"), F.lit(False))
+    shared, either = F.size(F.array_intersect("g.words", "c.words")), F.size(F.array_union("g.words", "c.words"))
+    overlap = F.when(either > 0, shared / either).otherwise(0.0)
+    lengths = F.length("g.album") + F.length("c.album")
+    most = 0.65 * F.when(lengths > 0, 2 * F.least(F.length("g.album"), F.length("c.album")) / lengths).otherwise(0.0) + 0.35 * overlap
+    near = F.coalesce(F.abs(F.col("g.year") - F.col("c.year")) <= 1, F.lit(True))
+    kept = met.where(exact | (most >= ALBUM_GATE)).select("group_id", "collection_id", F.col("g.album").alias("l"), F.col("c.album").alias("r"), F.col("g.artist").alias("x"), F.col("c.artist").alias("y"), exact.alias("exact"), near.alias("near"))
+    pairs = cut(kept.dropDuplicates(["group_id", "collection_id"]))
+    names = pairs.where("l <> r").select("l", "r").distinct().withColumn("ratio", text.similarity_udf("l", "r"))
+    artists = pairs.where("x <> y").select("x", "y").distinct().withColumn("artist_ratio", text.similarity_udf("x", "y"))
+    scored = pairs.join(names, ["l", "r"], "left").join(artists, ["x", "y"], "left")
+    scored = scored.withColumn("album_score", F.coalesce("ratio", F.when((F.col("l") == F.col("r")) & (F.col("l") != ""), 1.0).otherwise(0.0))).withColumn("artist_score", F.coalesce("artist_ratio", F.lit(1.0)))
+    scored = scored.where((F.col("album_score") >= ALBUM_GATE) | F.col("exact"))
+    total = 0.52 * F.col("album_score") + 0.33 * F.col("artist_score") + 0.10 * F.col("exact").cast("double") + 0.05 * F.col("near").cast("double")
     return ranking.top(scored.withColumn("search_score", total), "group_id", "search_score", "collection_id", SEARCH_ROWS)
 
 
@@ -93,8 +119,12 @@ def scores(groups: DataFrame, albums: DataFrame, local: DataFrame, remote: DataF
     return s.select("group_id", "collection_id", "matches", "coverage", *dict.fromkeys([*WEIGHTS, "track_count", "position"]), total.alias("total"))
 
 
-def decide(scored: DataFrame, least: float = LEAST_SCORE, margin: float = LEAST_MARGIN) -> DataFrame:
-    """(group_id, status, collection_id, best, next): `matched`, `ambiguous` (a runner within the margin) or `low confidence`."""
+def decide(scored: DataFrame, least: float = LEAST_SCORE, margin: float = LEAST_MARGIN, groups: DataFrame | None = None) -> DataFrame:
+    """(group_id, status, collection_id, best, next): `matched`, `ambiguous` (a runner within the margin) or `low confidence`;
+    with `groups` (group_id) also `no match` for those that have no candidate."""
     r = ranking.ranked(scored, "group_id", "total", "collection_id").where("rank = 1")
     status = F.when(F.col("best") < least, "low confidence").when(F.col("best") - F.col("next") < margin, "ambiguous").otherwise("matched")
-    return r.select("group_id", status.alias("status"), "collection_id", "best", "next")
+    found = r.select("group_id", status.alias("status"), "collection_id", "best", "next")
+    if groups is None:
+        return found
+    return groups.select("group_id").distinct().join(found, "group_id", "left").withColumn("status", F.coalesce("status", F.lit("no match")))

@@ -26,10 +26,10 @@ HARD_WORDS = {"feat", "feat.", "ft", "ft.", "featuring", "vs", "vs."}
 SOFT_WORDS = {"and", "with", "x"}
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»"}
 OPEN, CLOSE = "([{", ")]}"
-#: A name of its own has at most this many delimiters or joining words inside.
-INNER = 3
 #: A field without any of these holds one value (a necessary condition, checked on the Java side).
 POSSIBLE = r"(?i)[;|\\,/&+、＆×\"“„«]|\b(feat|ft|featuring|vs|and|with|x)\b"
+#: What can stand between two pieces of one name.
+DELIMITER = r"(?i)[,/&+、＆×]|\b(?:and|with|x)\b"
 #: Joining words that don't tell names apart.
 IGNORED = ["and"]
 
@@ -128,19 +128,20 @@ def soft(delimiter: str) -> bool:
     return delimiter in SOFT or delimiter in SOFT_WORDS
 
 
-def runs(pieces: list[Piece]) -> list[tuple[int, int]]:
-    """Spans [i, j) of unquoted pieces joined by soft delimiters only, single pieces included."""
+def runs(pieces: list[Piece], inner: int | None = None) -> list[tuple[int, int]]:
+    """Spans [i, j) of unquoted pieces joined by soft delimiters only, of at most `inner` of them; single pieces included."""
+    inner = len(pieces) if inner is None else max(1, inner)
     out = []
     for i in range(len(pieces)):
         out.append((i, i + 1))
         j = i + 1
-        while j < len(pieces) and j - i <= INNER and soft(pieces[j].before) and not pieces[j].quoted and not pieces[i].quoted:
+        while j < len(pieces) and j - i <= inner and soft(pieces[j].before) and not pieces[j].quoted and not pieces[i].quoted:
             j += 1
             out.append((i, j))
     return out
 
 
-def resolve(text: str, pieces: list[Piece], known: set[tuple[int, int]]) -> list[str]:
+def resolve(text: str, pieces: list[Piece], known: set[tuple[int, int]], inner: int | None = None) -> list[str]:
     """The names of a field: the segmentation into runs with the fewest unknown names, then the fewest names.
 
     An unknown run of several pieces is allowed only where one word is joined with one unknown word
@@ -149,7 +150,7 @@ def resolve(text: str, pieces: list[Piece], known: set[tuple[int, int]]) -> list
     """
     n = len(pieces)
     best: list[tuple[tuple[float, int], int]] = [((0.0, 0), 0)] + [((float("inf"), 0), 0)] * n
-    for i, j in runs(pieces):
+    for i, j in runs(pieces, inner):
         if (i, j) in known or (j == i + 1 and pieces[i].quoted):
             cost = 0.0
         elif j == i + 1:
@@ -176,24 +177,30 @@ def resolve(text: str, pieces: list[Piece], known: set[tuple[int, int]]) -> list
     return [text[pieces[i].start : pieces[j - 1].end].strip() for i, j in reversed(cuts)]
 
 
-def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for value in batch["value"]:
-            pieces = tokenize(value)
-            if len(pieces) > 1:
-                rows += [(value, i, j, value[pieces[i].start : pieces[j - 1].end]) for i, j in runs(pieces)]
-        yield pd.DataFrame(rows, columns=["value", "i", "j", "span"])
+def _spans(inner: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for value in batch["value"]:
+                pieces = tokenize(value)
+                if len(pieces) > 1:
+                    rows += [(value, i, j, value[pieces[i].start : pieces[j - 1].end]) for i, j in runs(pieces, inner)]
+            yield pd.DataFrame(rows, columns=["value", "i", "j", "span"])
 
+    return run
 
-def _resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for value, known in zip(batch["value"], batch["known"], strict=True):
-            names = [x for x in resolve(value, tokenize(value), {(k["i"], k["j"]) for k in known}) if x]
-            if len(names) > 1:
-                rows += [(value, pos, name) for pos, name in enumerate(names, 1)]
-        yield pd.DataFrame(rows, columns=["value", "pos", "val"]).astype({"pos": "int32"})
+
+def _resolved(inner: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for value, known in zip(batch["value"], batch["known"], strict=True):
+                names = [x for x in resolve(value, tokenize(value), {(k["i"], k["j"]) for k in known}, inner) if x]
+                if len(names) > 1:
+                    rows += [(value, pos, name) for pos, name in enumerate(names, 1)]
+            yield pd.DataFrame(rows, columns=["value", "pos", "val"]).astype({"pos": "int32"})
+
+    return run
 
 
 def split_values(values: DataFrame, known_names: DataFrame) -> DataFrame:
@@ -203,12 +210,15 @@ def split_values(values: DataFrame, known_names: DataFrame) -> DataFrame:
     nulls are ignored). Null and empty values give no rows. Positions count from 1 in the order of the field.
     """
     packed = values.select("value").where(F.col("value").rlike(POSSIBLE))
-    spans = cut(packed.mapInPandas(_spans, "value string, i int, j int, span string").withColumn("key", name_key(F.col("span"))))
+    # no known name has more delimiters inside; names with one that always separates are never joined again
+    whole = known_names.where(~F.col("name").rlike(r"[;|]|\\\\"))
+    inner = whole.agg(F.max(F.size(F.regexp_extract_all("name", F.lit(DELIMITER), F.lit(0))))).first()[0] or 1
+    spans = cut(packed.mapInPandas(_spans(inner), "value string, i int, j int, span string").withColumn("key", name_key(F.col("span"))))
     keys = known_names.select(name_key(F.col("name")).alias("key")).where("key <> ''").distinct()
     known = spans.join(keys, "key", "left_semi")
     per_value = spans.select("value", F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("j")).distinct().unionByName(known.select("value", "i", "j"))
     collected = per_value.groupBy("value").agg(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "j"))).alias("known"))
-    return collected.mapInPandas(_resolved, "value string, pos int, val string")
+    return collected.mapInPandas(_resolved(inner), "value string, pos int, val string")
 
 
 def split_fields(rows: DataFrame, field: str, known_names: DataFrame) -> DataFrame:

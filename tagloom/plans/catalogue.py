@@ -228,16 +228,27 @@ def clear_winner(spark, d):
     return ranking.clear_winner(o, "o_custkey", "quality", "o_orderkey", 0.6, 0.1)
 
 
+def _logical(spark, d):
+    """The logical tracks of each local release: first deliveries, with duplicate encodings collapsed."""
+    first = feeds.first_deliveries(tracks(spark, d), "path", "ingested_at", tie="track_id")
+    members = groups(spark, d).select(F.col("group_id").alias("component"), F.explode("files").alias("path")).join(first, "path")
+    members = cut(members.where("title IS NOT NULL").withColumn("recording_id", ids.uuid(F.col("mb_recording_id"))))
+    kept = grouping.logical_tracks(members)
+    return members.join(kept, ["component", "path"]).select(F.col("component").alias("group_id"), "track_id", "title", "artist", "disc_number", "track_number", "duration_ms")
+
+
 def _music(spark, d):
-    g = groups(spark, d).select("group_id", "album", "album_artist", "year", "track_count")
-    local = groups(spark, d).select("group_id", F.explode("files").alias("path")).join(tracks(spark, d).dropDuplicates(["path"]).select("path", "track_id", "title", "artist", "disc_number", "track_number", "duration_ms"), "path").drop("path")
+    local = cut(_logical(spark, d))
+    counts = local.groupBy("group_id").agg(F.count("*").cast("int").alias("logical"))
+    g = groups(spark, d).join(counts, "group_id", "left").select("group_id", "album", "album_artist", "year", F.coalesce("logical", "track_count").alias("track_count"))
     a = albums(spark, d).select("collection_id", "album", "artist", "release_year", "track_count")
     remote = songs(spark, d).select("collection_id", "catalog_track_id", "title", "artist", "disc_number", "track_number", "duration_ms")
-    return g, a, local, remote
+    return cut(g), a, local, remote
 
 
 def album_search(spark, d):
-    g, a, _, _ = _music(spark, d)
+    g = groups(spark, d).select("group_id", "album", "album_artist", "year", "track_count")
+    a = albums(spark, d).select("collection_id", "album", "artist", "release_year", "track_count")
     return matching.album_search(g, a).select("group_id", "collection_id", "place", F.round("search_score", 6).alias("search_score"))
 
 
@@ -247,7 +258,8 @@ def score_releases(spark, d):
 
 
 def decide_releases(spark, d):
-    r = matching.decide(cut(matching.scores(*_music(spark, d))))
+    music = _music(spark, d)
+    r = matching.decide(cut(matching.scores(*music)), groups=music[0])
     return r.select("group_id", "status", "collection_id", F.round("best", 6).alias("best"), F.round("next", 6).alias("next"))
 
 
@@ -267,7 +279,7 @@ def cache_ttl(spark, d):
 
 
 def first_deliveries(spark, d):
-    return feeds.first_deliveries(tracks(spark, d).select("path", "track_id", "ingested_at"), "path", "ingested_at").groupBy("path").agg(F.min("ingested_at").alias("ingested_at"))
+    return feeds.first_deliveries(tracks(spark, d).select("path", "track_id", "ingested_at"), "path", "ingested_at", tie="track_id").select("path", "track_id", "ingested_at")
 
 
 def daily_arrivals(spark, d):

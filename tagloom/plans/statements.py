@@ -106,6 +106,6 @@ SELECT o_custkey, o_orderkey FROM r WHERE k = 1 AND q >= 0.6 AND q - coalesce(nx
     "run_summary": f"SELECT count(*) AS tracks, count(*) FILTER (coalesce(title, '') = '') AS untitled, count(barcode) AS with_barcode, count({_GTIN}) AS valid_barcode, count(mb_release_id) AS with_release_id FROM tracks",
     "warning_histogram": "SELECT reason, count(*) AS n FROM (SELECT unnest(identifier_warnings) AS reason FROM tracks) GROUP BY reason",
     "cache_ttl": "SELECT track_id FROM tracks WHERE ingested_at >= TIMESTAMP '2024-01-01' - INTERVAL 400 DAY",
-    "first_deliveries": "SELECT path, min(ingested_at) AS ingested_at FROM tracks GROUP BY path",
+    "first_deliveries": "SELECT path, arg_min(track_id, struct_pack(a := ingested_at, b := track_id)) AS track_id, min(ingested_at) AS ingested_at FROM tracks GROUP BY path",
     "daily_arrivals": "SELECT date_trunc('day', scanned_at) AS window_start, tagger, count(*) AS n FROM tracks GROUP BY ALL",
 }

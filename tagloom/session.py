@@ -13,11 +13,6 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir}/{name}.parquet")
 
 
-def has_table(spark: SparkSession, data_dir: str, name: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{data_dir}/{name}.parquet")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session is set to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -29,6 +24,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir")
+    if named is None and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tagloom-checkpoint-", dir=os.environ.get("TMPDIR")))
 
 

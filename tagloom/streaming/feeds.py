@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def first_deliveries(stream: DataFrame, key: str, at: str, late: str = "30 days") -> DataFrame:
-    """The first delivery of each key within the watermark; works on a stream or, without state, on a table."""
+def first_deliveries(stream: DataFrame, key: str, at: str, late: str = "30 days", tie: str | None = None) -> DataFrame:
+    """The first delivery of each key within the watermark; works on a stream or, without state, on a table, where
+    deliveries of one time are told apart by the smallest `tie`."""
     if stream.isStreaming:
         return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
-    return stream.groupBy(key).agg(F.min_by(F.struct(*stream.columns), at).alias("r")).select("r.*")
+    return stream.groupBy(key).agg(F.min_by(F.struct(*stream.columns), F.struct(at, tie) if tie else F.col(at)).alias("r")).select("r.*")
 
 
 def arrivals(stream: DataFrame, at: str, source: str, window: str = "1 day", late: str = "30 days") -> DataFrame:

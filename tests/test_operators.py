@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.functions import text
 from tagloom.operators import assembly, diagnostics, grouping, matching, ranking, split_values
 from tagloom.operators.components import components
 from tagloom.operators.skew import lookup_join
@@ -62,6 +63,13 @@ def test_grouping_links_transitively_and_keeps_siblings_apart(spark):
     assert grouping.releases(grouping.linked(df.where("false"))).count() == 0
 
 
+def test_folder_names_are_folded_and_recordings_clash_by_identity(spark):
+    one, two = "12345678-1234-5678-9234-567812345678", "22345678-1234-5678-9234-567812345678"
+    rows = [track("/m/Été/side one/1.mp3", album="Été"), track("/m/Été/side two/2.mp3", album="Ete", number=2), track("/m/k/1.mp3", album="K", title="Song", recording=one), track("/m/k/2.mp3", album="K", title="Song [Explicit]", recording=two)]
+    found = {tuple(r["files"]): r["conflicts"] for r in grouping.releases(grouping.linked(spark.createDataFrame(rows, TRACK))).collect()}
+    assert found == {("/m/Été/side one/1.mp3", "/m/Été/side two/2.mp3"): [], ("/m/k/1.mp3", "/m/k/2.mp3"): ["recording ids differ at one position"]}
+
+
 def test_logical_tracks(spark):
     rec = "12345678-1234-5678-9234-567812345678"
     rows = [
@@ -126,16 +134,44 @@ def test_ranking(spark):
 
 
 def test_decision_on_the_three_track_release(spark):
-    groups = spark.createDataFrame([(1, "Greatest Hits", "Alpha", 2020, 3)], "group_id long, album string, album_artist string, year int, track_count int")
-    albums = spark.createDataFrame([(11, "Greatest Hits", "Beta", 2020, 3), (22, "Greatest Hits", "Alpha", 2020, 3)], "collection_id long, album string, artist string, release_year int, track_count int")
+    groups = spark.createDataFrame([(1, "Night Ledger", "Orrin", 2011, 3)], "group_id long, album string, album_artist string, year int, track_count int")
+    albums = spark.createDataFrame([(11, "Night Ledger", "Mabel", 2011, 3), (22, "Night Ledger", "Orrin", 2011, 3)], "collection_id long, album string, artist string, release_year int, track_count int")
     fields = "title string, artist string, disc_number int, track_number int, duration_ms long"
-    songs = [("One", 180000), ("Two", 201000), ("Three", 242000)]
-    local = spark.createDataFrame([(1, i, t, "Alpha", 1, i, ms) for i, (t, ms) in enumerate(songs, 1)], f"group_id long, track_id long, {fields}")
-    remote = spark.createDataFrame([(c, 10 * c + i, t, "Alpha", 1, i, ms + 100) for c in (11, 22) for i, (t, ms) in enumerate(songs, 1)], f"collection_id long, catalog_track_id long, {fields}")
+    songs = [("Lamplight", 154300), ("Undertow", 223900), ("Harbour Bell", 310050)]
+    local = spark.createDataFrame([(1, i, t, "Orrin", 1, i, ms) for i, (t, ms) in enumerate(songs, 1)], f"group_id long, track_id long, {fields}")
+    remote = spark.createDataFrame([(c, 10 * c + i, t, "Orrin", 1, i, ms + 100) for c in (11, 22) for i, (t, ms) in enumerate(songs, 1)], f"collection_id long, catalog_track_id long, {fields}")
     got = matching.decide(matching.scores(groups, albums, local, remote)).collect()
     assert [(r["status"], r["collection_id"]) for r in got] == [("matched", 22)]
 
 
+def test_album_search_against_brute_force(spark):
+    rng = random.Random(3)
+    words = ["silver", "garden", "night", "the", "of", "ledger", "counterrevolutionaries", "counterrevolutionarys", "extraordinarily", "extraordinarilly"]
+    album = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))
+    artists = ["Orrin", "The Orrin", "Mabel", "mabel"]
+    g = [(i, album(), rng.choice(artists), rng.choice([None, 2000, 2005]), rng.choice([None, 8, 9])) for i in range(40)] + [(90, None, "Orrin", None, 8), (91, "night", None, None, 8)]
+    a = [(100 + i, album(), rng.choice(artists), rng.choice([None, 2001]), rng.choice([None, 8, 10])) for i in range(40)]
+    got = matching.album_search(spark.createDataFrame(g, "group_id long, album string, album_artist string, year int, track_count int"), spark.createDataFrame(a, "collection_id long, album string, artist string, release_year int, track_count int"))
+    expected = {}
+    for i, al, ar, y, n in g:
+        found = []
+        for c, cal, car, cy, cn in a:
+            if ar and text.same_artist(ar, car):
+                s, exact = text.similarity(al or "", cal), n is not None and n == cn
+                if s >= matching.ALBUM_GATE or exact:
+                    found.append((-round(0.52 * s + 0.33 * text.similarity(ar, car) + 0.10 * exact + 0.05 * (y is None or cy is None or abs(y - cy) <= 1), 9), c))
+        for place, (score, c) in enumerate(sorted(found)[: matching.SEARCH_ROWS], 1):
+            expected[i, c] = (place, -score)
+    rows = {(r["group_id"], r["collection_id"]): (r["place"], round(r["search_score"], 9)) for r in got.collect()}
+    assert rows == expected and len(rows) > 100
+
+
+def test_groups_without_candidates_are_decided(spark):
+    scored = spark.createDataFrame([(1, 5, 0.95)], "group_id long, collection_id long, total double")
+    got = {r["group_id"]: (r["status"], r["collection_id"]) for r in matching.decide(scored, groups=spark.createDataFrame([(1,), (2,)], "group_id long")).collect()}
+    assert got == {1: ("matched", 5), 2: ("no match", None)}
+
+
 @pytest.mark.parametrize(
     "field, known, expected",
     [
@@ -149,7 +185,8 @@ def test_decision_on_the_three_track_release(spark):
         ("Ann Lee (feat. Bob Roe & Cy Poe)", [], ["Ann Lee", "Bob Roe", "Cy Poe"]),
         ("Ann Lee vs. Bob Roe ft. Cy Poe", [], ["Ann Lee", "Bob Roe", "Cy Poe"]),
         ("Ann Lee\\\\Bob Roe", [], ["Ann Lee", "Bob Roe"]),
-        ("Ann\;Lee; Bob Roe", [], ["Ann\;Lee", "Bob Roe"]),
+        (r"Ann\;Lee; Bob Roe", [], [r"Ann\;Lee", "Bob Roe"]),
+        ("Big, Bad, Ugly, Old & Mean Band; Ann Lee", ["Big, Bad, Ugly, Old & Mean Band"], ["Big, Bad, Ugly, Old & Mean Band", "Ann Lee"]),
         ("X Chamber Orchestra and Choir of Y", [], None),
         ('"unclosed; x', [], ['"unclosed', "x"]),
         (";;", [], None),
