@@ -46,12 +46,13 @@ def collapse(records: DataFrame, key: str, word_fields: list[str], exact_fields:
     """One row per record: `id`, `kept_id` (the smallest id among its equals) and `copies` (how many equals, itself included).
 
     Null equals only null; an empty value equals any value without words. Plain repeats count.
-    An empty table gives no rows. Number fields are compared exactly (floats by value).
+    An empty table gives no rows. Number fields are compared exactly, in their own type.
     """
     coded = encode(records, key, word_fields, exact_fields, number_fields)
-    names = [c for c in coded.columns if c != "id"]
-    # the tuple itself is the key: one struct, in which nulls compare as values
-    tuples = cut(coded.select("id", F.struct(*(F.coalesce(F.col(n).cast("long"), F.lit(-1 << 62)).alias(n) for n in names)).alias("tuple")))
+    kinds = {n: t for n, t in coded.dtypes if n != "id"}
+    # the tuple itself is the key: per field its value in its own type and whether it is null
+    values = [F.coalesce(F.col(n), F.lit(0).cast(t)).alias(n) for n, t in kinds.items()]
+    tuples = cut(coded.select("id", F.struct(*(F.col(n).isNull().alias(f"{n}_null") for n in kinds), *values).alias("tuple")))
     groups = cut(tuples.groupBy("tuple").agg(F.min("id").alias("kept_id"), F.count("*").alias("copies")))
     total = groups.agg(F.sum("copies")).first()[0] or 0
     return lookup_join(tuples, groups.withColumn("weight", F.col("copies")), "tuple", "weight", total).select("id", "kept_id", "copies")

@@ -27,6 +27,8 @@ def test_collapse_against_brute_force(spark):
         groups.setdefault((canon(a), canon(b), n, e), []).append(i)
     assert got == {i: (min(g), len(g)) for g in groups.values() for i in g}
     assert collapse.collapse(frame(spark, [], "k long, a string"), "k", ["a"]).count() == 0
+    numbers = frame(spark, [(1, "a", 2.1), (2, "a", 2.9), (3, "a", None), (4, "a", 0.0), (5, "A", 2.1), (6, "a", None)], "k long, a string, x double")
+    assert {r["id"]: r["kept_id"] for r in collapse.collapse(numbers, "k", ["a"], [], ["x"]).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1, 6: 3}
 
 
 # problem 3
