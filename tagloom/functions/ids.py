@@ -48,9 +48,20 @@ def year(value: Column) -> Column:
     return F.regexp_extract(value, r"(?<!\d)((?:18|19|20|21)\d{2})(?!\d)", 1).try_cast("int")
 
 
-def whole_number(value: Column) -> Column:
-    """Integer of a text; anything but an optionally signed integer gives null."""
-    return F.when(F.trim(value).rlike(r"^[+-]?\d+$"), F.trim(value).try_cast("bigint"))
+def cache_key(**parts: Column) -> Column:
+    """SHA-256 of the JSON object of the parts with its names in order; null parts are left out."""
+    return F.sha2(F.to_json(F.struct(*(parts[n].alias(n) for n in sorted(parts)))), 256)
+
+
+def picture_size(mime: Column, description: Column, data: Column) -> Column:
+    """Bytes of a picture block: eight numbers of four bytes, and the three variable parts."""
+    length = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+    return 32 + length(mime) + length(description) + length(data)
+
+
+def retry_delay(attempt: Column, jitter: Column | float = 0.0, base: float = 1.8, cap: float = 30.0) -> Column:
+    """Seconds to wait before the next attempt: growing by a factor up to a cap, and a jitter on top."""
+    return F.least(F.lit(cap), F.pow(F.lit(base), attempt)) + (F.lit(jitter) if isinstance(jitter, float) else jitter)
 
 
 def basis(release_id: Column, code: Column) -> Column:
@@ -69,20 +80,14 @@ def allowed_https(url: Column, hosts: list[str], suffixes: list[str] = []) -> Co
 
 
 def collection_id(url: Column, hosts: list[str]) -> Column:
-    """Number of an album page: the last path segment (`123` or `id123`) behind `/album/`, or `id=` of a viewAlbum link."""
-    path = F.regexp_extract(url, r"^(?i:https?)://[^/?#]+(/[^?#]*)", 1)
+    """Number of an album page on HTTPS: the last path segment (`123` or `id123`) behind `/album/`, or `id=` of a viewAlbum link."""
+    path = F.regexp_extract(url, r"^(?i:https)://[^/?#]+(/[^?#]*)", 1)
     page = F.regexp_extract(path, r"^(?:/[a-z]{2})?/album/(?:[^/]+/)?(?:id)?(\d{1,18})/?$", 1)
     legacy = F.when(path.rlike(r"(?i)/viewalbum$"), F.regexp_extract(url, r"[?&]id=(\d{1,18})(?:&|#|$)", 1))
-    host = F.lower(F.regexp_extract(url, r"^(?i:https?)://([^/?#:@]+)", 1))
     found = F.coalesce(F.nullif(page, F.lit("")), F.nullif(legacy, F.lit(""))).try_cast("bigint")
-    return F.when(host.isin(*hosts) & (found > 0), found)
+    return F.when(allowed_https(url, hosts) & (found > 0), found)
 
 
 def release_id(url: Column) -> Column:
     """UUID behind `/release/` in a URL."""
     return uuid(F.regexp_extract(url, r"/release/([^/?#]+)/?(?:[?#]|$)", 1))
-
-
-def cache_key(*parts: Column) -> Column:
-    """SHA-256 of the JSON of the parts in the given order."""
-    return F.sha2(F.to_json(F.struct(*(p.alias(f"p{i}") for i, p in enumerate(parts)))), 256)

@@ -8,14 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import ids, measures, paths, text
-from tagloom.operators import assembly, diagnostics, grouping, matching, ranking, split_values
+from tagloom.operators import assembly, diagnostics, grouping, identified, matching, ranking, relations, split_values
 from tagloom.plans import statements
 from tagloom.session import cut, table
 from tagloom.sources import store
 from tagloom.streaming import feeds
 
-HOSTS = ["is1-ssl.mzstatic.com", "example.org"]
-
 
 def _t(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: table(spark, d, name)
@@ -81,8 +79,10 @@ def url_allowlist(spark, d):
 
 
 def url_ids(spark, d):
-    made = albums(spark, d).select("collection_id", F.concat(F.lit("https://music.example.org/us/album/some-name/id"), F.col("collection_id")).alias("url"))
-    return made.select("collection_id", ids.collection_id(F.col("url"), ["music.example.org"]).alias("found"))
+    hosts = F.element_at(F.array(*(F.lit(h) for h in ("music.example.org", "music.example.org", "evil.example.org", "music.example.org.evil.org"))), (F.pmod("collection_id", F.lit(4)) + 1).cast("int"))
+    scheme = F.when(F.pmod("collection_id", F.lit(7)) == 0, "http").otherwise("https")
+    made = albums(spark, d).select("collection_id", F.concat(scheme, F.lit("://"), hosts, F.lit("/us/album/some-name/"), F.when(F.pmod("collection_id", F.lit(5)) != 0, "id").otherwise("x"), F.col("collection_id")).alias("url"))
+    return made.select("collection_id", ids.collection_id(F.col("url"), ["music.example.org"]).cast("string").alias("found"))
 
 
 def json_props(spark, d):
@@ -90,7 +90,15 @@ def json_props(spark, d):
 
 
 def sha256_key(spark, d):
-    return groups(spark, d).select("group_id", F.sha2(F.concat_ws("|", F.coalesce("album", F.lit("")), F.coalesce("album_artist", F.lit(""))), 256).alias("cache_key"))
+    return groups(spark, d).select("group_id", ids.cache_key(term=F.col("album"), artist=F.col("album_artist"), limit=F.lit(50)).alias("cache_key"))
+
+
+def picture_size(spark, d):
+    return table(spark, d, "documents").select("doc_id", ids.picture_size(F.col("lang"), F.col("subject"), F.col("text")).alias("bytes"))
+
+
+def retry_delay(spark, d):
+    return table(spark, d, "events").select("event_id", F.round(ids.retry_delay(F.pmod("event_id", F.lit(9)), F.pmod("user_id", F.lit(4)) / 16.0), 6).alias("seconds"))
 
 
 # text
@@ -127,12 +135,11 @@ def logical_tracks(spark, d):
 
 
 def duplicate_positions(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("copies"), F.min("l_partkey").alias("first_part")).where("copies > 1")
+    return relations.repeated(table(spark, d, "lineitem"), ["l_suppkey", "l_linenumber"], "l_partkey").withColumnRenamed("first", "first_part")
 
 
 def conflict_detect(spark, d):
-    line = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count_distinct("l_suppkey").alias("suppliers"))
-    return line.groupBy("l_orderkey").agg(F.count_if(F.col("suppliers") > 1).alias("conflicts"))
+    return relations.conflicting(table(spark, d, "lineitem"), "l_partkey", ["l_linenumber"], "l_suppkey")
 
 
 def _album_songs(spark, d):
@@ -161,7 +168,7 @@ def release_assembly(spark, d):
 # joins
 def position_join(spark, d):
     local, remote = _disc_positions(spark, d)
-    j = local.join(remote, ["l_orderkey", "disc", "l_linenumber"])
+    j = relations.by_position(local, remote, "l_orderkey", ["disc", "l_linenumber"])
     return j.groupBy("l_orderkey").agg(F.sum(F.abs(F.col("ms") - F.col("other_ms"))).alias("distance"), F.count("*").alias("positions"))
 
 
@@ -192,15 +199,14 @@ def cascade_priority(spark, d):
 
 
 def relation_overlap(spark, d):
-    line = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag").distinct()
-    sets = line.groupBy("l_suppkey").agg(F.collect_set(F.when(F.col("l_returnflag") == "A", F.col("l_partkey"))).alias("a"), F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))).alias("r"))
-    return sets.select("l_suppkey", F.size(F.array_intersect("a", "r")).alias("shared"), F.arrays_overlap("a", "r").alias("overlap"), F.size(F.array_except("a", "r")).alias("only_a"))
+    line = table(spark, d, "lineitem")
+    both = relations.overlap(line.where("l_returnflag = 'A'"), line.where("l_returnflag = 'R'"), "l_suppkey", "l_partkey")
+    return both.select("l_suppkey", "shared", (F.col("shared") > 0).alias("overlap"), F.col("only_left").alias("only_a"))
 
 
 def folder_owners(spark, d):
-    """Folders that hold files of one release tag only: no other album has a file below them."""
-    t = tracks(spark, d).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "album")
-    return t.groupBy("folder").agg(F.count_distinct("album").alias("names"), F.count("*").alias("files")).where("names = 1").select("folder", "files")
+    """Folders that hold files of one album only, at any depth."""
+    return relations.owned_folders(tracks(spark, d), "path", "album").select("folder", F.col("owner").alias("album"), "files")
 
 
 def common_folder(spark, d):
@@ -263,6 +269,38 @@ def decide_releases(spark, d):
     return r.select("group_id", "status", "collection_id", F.round("best", 6).alias("best"), F.round("next", 6).alias("next"))
 
 
+# identifiers
+def direct_winner(spark, d):
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") != "A").alias("direct"), (F.col("l_quantity") > 45).alias("exact_count"), (F.col("l_quantity") / 50.0).cast("double").alias("coverage"), (1 - F.col("l_discount")).cast("double").alias("closeness"))
+    return identified.evidence_winner(line, "l_orderkey", "l_linenumber")
+
+
+def equivalent_releases(spark, d):
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("collection_id"), F.col("l_returnflag").alias("title"), F.col("l_linestatus").alias("artist"), F.lit(1).alias("disc_number"), F.col("l_linenumber").alias("track_number"), (F.col("l_quantity") * 1000).cast("long").alias("duration_ms"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("collection_id"), F.col("o_orderpriority").alias("album"), F.col("o_orderstatus").alias("artist"), F.year("o_orderdate").alias("release_year"), F.lit(1).alias("track_count"))
+    return identified.equivalent_releases(o, line)
+
+
+def same_albums_twice(spark, d):
+    return identified.equivalent_releases(albums(spark, d), songs(spark, d))
+
+
+def identifier_scores(spark, d):
+    """Scores of the albums that a search finds for releases with an identifier, as if it had led there."""
+    g, a, local, remote = _music(spark, d)
+    tags = groups(spark, d).select("group_id", "barcode", "mb_release_id", F.col("mb_provenance_complete").alias("complete_ids"), F.col("identifier_conflicts").alias("conflicts"))
+    named = cut(g.join(tags, "group_id").where(ids.basis(F.col("mb_release_id"), F.col("barcode")) != "legacy"))
+    found = matching.album_search(named, a).join(named.select("group_id", "barcode", "mb_release_id"), "group_id")
+    found = found.select("group_id", "collection_id", F.col("barcode").alias("verified_barcode"), F.col("mb_release_id").alias("verified_release_id"), F.lit("musicbrainz_barcode").alias("resolution"), F.lit(False).alias("recordings_verified"))
+    return identified.scores(cut(found), named, a, local, remote)
+
+
+def identifier_decisions(spark, d):
+    scored = cut(identifier_scores(spark, d))
+    exact = assembly.assemble(albums(spark, d), songs(spark, d), "collection_id", "track_count").where("status = 'complete'")
+    return identified.decide(scored, exact, identified.equivalent_releases(albums(spark, d), songs(spark, d)))
+
+
 def run_summary(spark, d):
     t = tracks(spark, d)
     return store.summary(t, {"tracks": F.lit(True), "untitled": F.coalesce("title", F.lit("")) == "", "with_barcode": F.col("barcode").isNotNull(), "valid_barcode": ids.barcode(F.col("barcode")).isNotNull(), "with_release_id": F.col("mb_release_id").isNotNull()})
@@ -295,9 +333,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMES = """glob_filter protected_prefix_filter required_fields clean_text layout_folders gtin_check uuid_canonical number_pair year_extract matching_basis url_allowlist
-url_ids json_props sha256_key fold_text version_qualifiers album_identities feature_credits token_jaccard group_tracks logical_tracks duplicate_positions conflict_detect
+url_ids json_props sha256_key picture_size retry_delay fold_text version_qualifiers album_identities feature_credits token_jaccard group_tracks logical_tracks duplicate_positions conflict_detect
 tracklist_incomplete catalog_incomplete topology release_assembly position_join duration_tolerance duration_multiset multiset_containment cascade_priority relation_overlap
-folder_owners common_folder topk_before_distinct rank_margin unique_winner clear_winner album_search score_releases decide_releases run_summary warning_histogram cache_ttl
+folder_owners common_folder topk_before_distinct rank_margin unique_winner clear_winner album_search score_releases decide_releases direct_winner equivalent_releases same_albums_twice identifier_scores identifier_decisions run_summary warning_histogram cache_ttl
 first_deliveries daily_arrivals p5_found""".split()
 
 

@@ -41,15 +41,17 @@ SELECT collection_id, coalesce(regexp_matches(artwork_url, '^https://(art\.inval
   regexp_replace(artwork_url, '/\d+x\d+(bb)?(-\d+)?\.(jpg|png|webp)$', '/3000x3000bb.jpg') AS first_url,
   CASE WHEN artwork_url IS NULL THEN 0 WHEN regexp_matches(artwork_url, '/\d+x\d+(bb)?(-\d+)?\.(jpg|png|webp)$') THEN CASE WHEN regexp_matches(artwork_url, '/(3000x3000|1200x1200|600x600)bb\.jpg$') THEN 3 ELSE 4 END ELSE 1 END AS urls
 FROM catalog_albums""",
-    "url_ids": "SELECT collection_id, collection_id AS found FROM catalog_albums",
+    "url_ids": "SELECT collection_id, CASE WHEN collection_id % 4 < 2 AND collection_id % 7 <> 0 AND collection_id % 5 <> 0 THEN CAST(collection_id AS VARCHAR) END AS found FROM catalog_albums",
     "json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
-    "sha256_key": "SELECT group_id, sha256(concat_ws('|', coalesce(album, ''), coalesce(album_artist, ''))) AS cache_key FROM album_groups",
+    "sha256_key": """SELECT group_id, sha256('{' || concat_ws(',', '"artist":' || to_json(album_artist), '"limit":50', '"term":' || to_json(album)) || '}') AS cache_key FROM album_groups""",
+    "picture_size": "SELECT doc_id, CAST(32 + coalesce(strlen(lang), 0) + coalesce(strlen(subject), 0) + coalesce(strlen(text), 0) AS INT) AS bytes FROM documents",
+    "retry_delay": "SELECT event_id, round(least(30.0, pow(1.8, event_id % 9)) + (user_id % 4) / 16.0, 6) AS seconds FROM events",
     "token_jaccard": """
 WITH w AS (SELECT collection_id, list_distinct(list_filter(string_split(lower(album), ' '), lambda s: s <> '')) AS a, list_distinct(list_filter(string_split(lower(artist), ' '), lambda s: s <> '')) AS b FROM catalog_albums)
 SELECT collection_id, round(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 6) AS jaccard FROM w""",
-    "duplicate_positions": "SELECT l_orderkey, l_linenumber, count(*) AS copies, min(l_partkey) AS first_part FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "duplicate_positions": "SELECT l_suppkey, l_linenumber, count(*) AS copies, min(l_partkey) AS first_part FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "conflict_detect": """
-SELECT l_orderkey, count(*) FILTER (s > 1) AS conflicts FROM (SELECT l_orderkey, l_linenumber, count(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY ALL) GROUP BY l_orderkey""",
+SELECT l_partkey, count(*) FILTER (s > 1) AS conflicts FROM (SELECT l_partkey, l_linenumber, count(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY ALL) GROUP BY l_partkey""",
     "tracklist_incomplete": f"WITH src AS (SELECT l_orderkey AS id, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END AS disc, l_linenumber AS track_number FROM lineitem) {_INCOMPLETE}",
     "catalog_incomplete": f"WITH src AS (SELECT collection_id AS id, coalesce(disc_number, 1) AS disc, track_number FROM catalog_tracks) {_INCOMPLETE}",
     "topology": """
@@ -86,7 +88,20 @@ SELECT o_custkey, stage, count(*) AS n, min(o_orderkey) AS first_order FROM b WH
     "relation_overlap": """
 WITH s AS (SELECT l_suppkey, coalesce(list(DISTINCT l_partkey) FILTER (l_returnflag = 'A'), []) AS a, coalesce(list(DISTINCT l_partkey) FILTER (l_returnflag = 'R'), []) AS r FROM lineitem GROUP BY 1)
 SELECT l_suppkey, len(list_intersect(a, r)) AS shared, len(list_intersect(a, r)) > 0 AS overlap, len(a) - len(list_intersect(a, r)) AS only_a FROM s""",
-    "folder_owners": "SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*) AS files FROM tracks GROUP BY 1 HAVING count(DISTINCT album) = 1",
+    "folder_owners": """
+WITH f AS (SELECT album, list_filter(string_split(path, '/')[1:-2], lambda s: s <> '') AS p FROM tracks), e AS (SELECT album, unnest(list_transform(range(1, len(p) + 1), lambda k: '/' || array_to_string(p[1:k], '/'))) AS folder FROM f)
+SELECT folder, min(album) AS album, count(*) AS files FROM e GROUP BY folder HAVING count(DISTINCT album) = 1 AND count(album) = count(*)""",
+    "direct_winner": """
+WITH x AS (SELECT l_orderkey, l_linenumber, l_returnflag <> 'A' AS direct, l_quantity > 45 AS exact, least(CAST(l_quantity / 50.0 AS DOUBLE), CAST(1 - l_discount AS DOUBLE)) AS q FROM lineitem),
+g AS (SELECT l_orderkey, count(*) FILTER (exact) AS e, max(l_linenumber) FILTER (exact) AS c, list(q ORDER BY q DESC, l_linenumber) AS qs, first(l_linenumber ORDER BY q DESC, l_linenumber) AS i FROM x GROUP BY 1 HAVING count(*) > 1 AND bool_and(direct)),
+w AS (SELECT l_orderkey, CASE WHEN e = 1 THEN c END AS c, CASE WHEN qs[1] >= 0.85 AND qs[1] - qs[2] >= 0.15 THEN i END AS d FROM g)
+SELECT l_orderkey, coalesce(c, d) AS l_linenumber FROM w WHERE coalesce(c, d) IS NOT NULL AND coalesce(c = d, true)""",
+    "equivalent_releases": """
+WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS t, l_linestatus AS a, CAST(l_quantity * 1000 AS BIGINT) AS ms FROM lineitem),
+p AS (SELECT k, list(n || '|' || t || '|' || a ORDER BY n) AS s, list(ms ORDER BY n) AS m FROM l GROUP BY k HAVING count(*) = count(DISTINCT n)),
+o AS (SELECT o_orderkey AS k, o_orderpriority AS x, o_orderstatus AS y, year(o_orderdate) AS z, s, m FROM orders JOIN p ON k = o_orderkey)
+SELECT u.k AS a, v.k AS b FROM o u JOIN o v ON u.x = v.x AND u.y = v.y AND u.z = v.z AND u.s = v.s AND u.k < v.k
+WHERE len(list_filter(list_zip(u.m, v.m), lambda q: abs(q[1] - q[2]) > least(4000.0, greatest(2000.0, greatest(q[1], q[2]) * 0.005)))) = 0""",
     "common_folder": """
 WITH s AS (SELECT mb_release_id, string_split(path, '/')[2:-2] AS f FROM tracks WHERE mb_release_id IS NOT NULL),
 e AS (SELECT mb_release_id, unnest(range(1, len(f) + 1)) AS k, f FROM s),

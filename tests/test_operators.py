@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import text
-from tagloom.operators import assembly, diagnostics, grouping, matching, ranking, split_values
+from tagloom.operators import assembly, diagnostics, grouping, identified, matching, ranking, relations, split_values
 from tagloom.operators.components import components
 from tagloom.operators.skew import lookup_join
 from tagloom.operators.streamed import grouped_rows
@@ -205,3 +205,64 @@ def test_split_fields_repeats_and_empty(spark):
     got = split_values.split_fields(rows, "artist", spark.createDataFrame([], "name string"))
     assert got.count() == 10 and got.columns == ["tbl", "row_id", "pos", "val"]
     assert split_values.split_fields(rows.where("false"), "artist", spark.createDataFrame([], "name string")).count() == 0
+
+
+GTIN, UUID_A, UUID_B = "012345678905", "12345678-1234-5678-9234-567812345678", "22345678-1234-5678-9234-567812345678"
+SONG = "title string, artist string, disc_number int, track_number int, duration_ms long, track_total int, disc_total int"
+
+
+def songs_of(key, ms, titles=None, n=6):
+    return [(key, (titles or "Lamp {}").format(i), "Orrin", 1, i, ms + 1000 * i, n, 1) for i in range(1, n + 1)]
+
+
+def test_identifier_scores_and_decisions(spark):
+    groups = spark.createDataFrame(
+        [(1, "Night Ledger", "Orrin", 2011, GTIN, None, False, []), (2, "Night Ledger", "Orrin", 2011, None, UUID_A, True, []), (3, "Night Ledger", "Orrin", 2011, GTIN, None, False, ["barcodes differ"]), (4, "Night Ledger", "Orrin", 2011, GTIN, None, False, [])],
+        "group_id long, album string, album_artist string, year int, barcode string, mb_release_id string, complete_ids boolean, conflicts array<string>",
+    )
+    albums = spark.createDataFrame([(10, "Night Ledger", "Orrin", 2011, 6), (11, "Something Else", "Mabel", 2011, 6), (12, "Night Ledger", "Orrin", 2011, 7)], "collection_id long, album string, artist string, release_year int, track_count int")
+    local = spark.createDataFrame([r for g in (1, 2, 3, 4) for r in songs_of(g, 180000)], f"group_id long, {SONG}")
+    remote = spark.createDataFrame(songs_of(10, 180200) + songs_of(11, 260000) + songs_of(12, 180200, n=6), f"collection_id long, {SONG}")
+    rows = [
+        (1, 10, "0" + GTIN, None, None), (1, 11, GTIN, None, None), (2, 10, None, UUID_A, "musicbrainz_search"), (2, 11, None, UUID_A, "musicbrainz_other"),
+        (2, 12, None, UUID_B, "musicbrainz_barcode"), (3, 10, GTIN, None, None), (4, 10, None, None, None),
+    ]
+    candidates = spark.createDataFrame([(*r, False) for r in rows], "group_id long, collection_id long, verified_barcode string, verified_release_id string, resolution string, recordings_verified boolean")
+    scored = identified.scores(candidates, groups, albums, local, remote)
+    got = {(r["group_id"], r["collection_id"]): r for r in scored.collect()}
+    assert got[1, 10]["eligible"] and got[1, 10]["direct"] and got[1, 10]["warnings"] == []
+    # barcode, count, closeness, names and year
+    assert got[1, 10]["total"] == pytest.approx(0.30 + 0.10 + 0.08 * got[1, 10]["closeness"] + 0.07) and got[1, 10]["closeness"] > 0.99
+    assert got[1, 11]["eligible"] and got[1, 11]["warnings"] == ["other durations kept", "other album title kept", "other artist kept"]
+    assert got[2, 10]["eligible"] and not got[2, 10]["direct"] and got[2, 11]["reasons"] == ["artists differ", "albums differ", "durations differ"]
+    assert got[2, 12]["reasons"] == ["no identifier leads to the candidate", "release ids differ", "track list incomplete", "track counts differ"]
+    assert got[3, 10]["reasons"] == ["barcodes differ"] and got[4, 10]["reasons"] == ["no identifier leads to the candidate"]
+    exact = spark.createDataFrame([(10,), (11,)], "collection_id long")
+    none = spark.createDataFrame([], "a long, b long")
+    decided = {r["group_id"]: (r["status"], r["collection_id"]) for r in identified.decide(scored, exact, none).collect()}
+    assert decided == {1: ("matched", 10), 2: ("matched", 10), 3: ("no match", None), 4: ("no match", None)}
+    assert identified.scores(candidates.where("false"), groups, albums, local, remote).count() == 0
+
+
+def test_equivalent_releases_and_alignment(spark):
+    fields = "collection_id long, album string, artist string, release_year int, track_count int"
+    albums = spark.createDataFrame([(10, "Night Ledger", "The Orrin", 2011, 6), (11, "night ledger!", "Orrin", 2011, 6), (12, "Night Ledger", "Orrin", 2012, 6), (13, "Night Ledger", "Orrin", 2011, 6), (14, "Night Ledger (2011 Remaster)", "Orrin", 2011, 6)], fields)
+    remote = spark.createDataFrame(songs_of(10, 180000) + songs_of(11, 181000) + songs_of(12, 180000) + songs_of(13, 190000) + songs_of(14, 180500, "Lamp {} (Remastered 2011)"), f"collection_id long, {SONG}")
+    assert [tuple(r) for r in identified.equivalent_releases(albums, remote).collect()] == [(10, 11)]
+    groups = spark.createDataFrame([(1, "Night Ledger", "Orrin")], "group_id long, album string, album_artist string")
+    local = spark.createDataFrame(songs_of(1, 180000), f"group_id long, {SONG}")
+    candidates = spark.createDataFrame([(1, i) for i in (10, 13, 14)], "group_id long, collection_id long")
+    # 10 differs by no label, 13 by its durations
+    assert [tuple(r) for r in identified.aligned(candidates, groups, albums, local, remote).collect()] == [(1, 14)]
+    ties = spark.createDataFrame([(0.0, 200.0), (0.0, 50.0), (950.0, 1000.0), (None, 5.0)], "a double, b double")
+    assert [r[0] for r in ties.select(identified.breaks_tie(F.col("a"), F.col("b"))).collect()] == [True, False, False, False]
+
+
+def test_relations(spark):
+    rows = spark.createDataFrame([("g", 1, "a"), ("g", 1, "b"), ("g", 2, "a"), ("g", 2, None), ("h", 1, "a"), (None, None, None)], "g string, p int, v string")
+    assert sorted((r["g"] or "", r["conflicts"]) for r in relations.conflicting(rows, "g", ["p"], "v").collect()) == [("", 0), ("g", 1), ("h", 0)]
+    assert [tuple(r) for r in relations.repeated(rows, ["g", "p"], "v").orderBy("p").collect()] == [("g", 1, 2, "a"), ("g", 2, 2, "a")]
+    both = {r["g"]: (r["shared"], r["only_left"]) for r in relations.overlap(rows, rows.where("p = 1"), "g", "v").collect()}
+    assert both["g"] == (2, 0) and both["h"] == (1, 0)
+    files = spark.createDataFrame([("/m/a/1.mp3", "x"), ("/m/a/cd 1/2.mp3", "x"), ("/m/b/3.mp3", "y"), ("/m/b/4.mp3", "x"), ("/n/5.mp3", None), ("6.mp3", "z")], "path string, owner string")
+    assert {tuple(r) for r in relations.owned_folders(files, "path", "owner").collect()} == {("/m/a", "x", 2), ("/m/a/cd 1", "x", 1)}
