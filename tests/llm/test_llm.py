@@ -220,10 +220,23 @@ def test_neighbours_against_brute_force(spark):
     assert got == expected and len(got) > 30
 
 
+def test_scored_pairs_lose_nothing(spark):
+    rng = random.Random(6)
+    words = ["silver", "silvr", "garden", "gardens", "night", "blackbird", "black", "bird", "counterrevolutionary", "counterrevolutionar", "2", "ii"]
+    names_ = ["orrin mabel", "mabel orin", "o mabel", "zarneturs", "zarnetur", "the wolves", "wolfes", "gold smith", "goldsmith"]
+    rows = [(i % 2, i, [rng.choice(words) for _ in range(rng.randrange(1, 4))], rng.choice(names_).split(" "), [["orrin", "mabel"]] if i % 10 == 0 else [], "", None, 9) for i in range(160)]
+    df = frame(spark, rows, releases.SCHEMA)
+    ids = [frame(spark, [(r[1],) for r in rows if r[0] == side], f"{name} long") for side, name in ((0, "local"), (1, "album"))]
+    got = {(r["local"], r["album"]): r["confidence"] for r in releases.scored_pairs(ids[0].crossJoin(ids[1]), df, 0.72).collect()}
+    record = lambda r: {"title": r[2], "artist": tuple(r[3]), "others": [tuple(o) for o in r[4]], "label": r[5], "year": r[6], "count": r[7]}
+    every = {(x[1], y[1]): releases.confidence(record(x), record(y)) for x in rows if x[0] == 0 for y in rows if y[0] == 1}
+    assert got == pytest.approx({k: v for k, v in every.items() if v >= 0.72}) and len(got) > 50
+
+
 def test_a_loser_keeps_no_album_of_another_release(spark):
     schema = "id long, title string, artist string, year int, count int"
     words = "Silver Garden of Many Sorrows"
-    groups = frame(spark, [(1, words, "The Wolves", 2000, 10), (2, words + " Acoustic", "The Wolves", 2000, 10), (3, words[:-4], "The Wolves", 2000, 10)], schema)
+    groups = frame(spark, [(1, words, "The Wolves", 2000, 10), (2, "Acoustic " + words, "The Wolves", 2000, 10), (3, words[:-4], "The Wolves", 2000, 10)], schema)
     albums = frame(spark, [(10, words, "The Wolves", 2000, 10)], schema)
     assert {(r["group_id"], r["collection_id"]) for r in releases.match_releases(groups, albums).collect()} == {(1, 10), (3, 10)}
 
