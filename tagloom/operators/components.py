@@ -1,8 +1,9 @@
 """Connected components of an edge list by alternating large-star and small-star steps.
 
-Every step is a join-free aggregate plus explode on hashed keys; the number of rounds grows with the
-logarithm of the longest path. Neighbour lists are never collected: a node's smallest neighbour comes
-from an aggregate that combines on the map side, so hubs with a third of all edges stay balanced.
+The number of rounds grows with the logarithm of the longest path. Neighbour lists are never collected: a
+node's smallest neighbour comes from an aggregate that combines on the map side. The edges then look it up: those of
+hubs against a broadcast of at most a few thousand of them, all others in a shuffle, so that a hub with a third of
+all edges stays balanced.
 """
 
 from __future__ import annotations
@@ -10,8 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.operators.skew import lookup_join
 from tagloom.session import cut
 
+#: Edges from which the look-up of a node's smallest neighbour is split by hubs; below, no node has enough to matter.
+SPLIT = 1_000_000
+
+
+def _looked_up(edges: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """`edges` with the columns of `lookup` (key, least, k), where k counts the edges of the key."""
+    total = edges.count()
+    if total < SPLIT:
+        return edges.join(lookup.drop("k"), key)
+    return lookup_join(edges, cut(lookup), key, "k", total)
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component): every node that occurs in `edges` with the smallest node of its component.
@@ -26,11 +39,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         # large star: every larger neighbour of a node is linked to the smallest of its neighbourhood
         both = current.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(current.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
-        least = both.groupBy("n").agg(F.min("m").alias("x")).select("n", F.least("n", "x").alias("least"))
-        large = both.where("m > n").join(least, "n").select(F.col("m").alias("hi"), F.col("least").alias("lo")).where("hi <> lo").distinct()
+        least = both.groupBy("n").agg(F.min("m").alias("x"), F.count_if(F.col("m") > F.col("n")).alias("k")).where("k > 0").select("n", F.least("n", "x").alias("least"), "k")
+        large = _looked_up(both.where("m > n"), least, "n").select(F.col("m").alias("hi"), F.col("least").alias("lo")).where("hi <> lo").distinct()
         # small star: the smaller neighbours of a node and the node itself are linked to the smallest of them
-        low = large.groupBy("hi").agg(F.min("lo").alias("least"))
-        small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo")).union(low.select("hi", F.col("least").alias("lo"))).where("hi <> lo").distinct()
+        low = large.groupBy("hi").agg(F.min("lo").alias("least"), F.count("*").alias("k"))
+        small = _looked_up(large, low, "hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo")).union(low.select("hi", F.col("least").alias("lo"))).where("hi <> lo").distinct()
         current = cut(small)
         seen = current.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if tuple(seen) == signature:
