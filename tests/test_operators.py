@@ -16,7 +16,9 @@ def track(path, title="T", artist="A", album="B", number=1, disc=None, barcode=N
     return (path, title, artist, album, album_artist, year, number, total, disc, None, 1000, barcode, release, recording, "x", 1)
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("split", [1_000_000, 0])
+def test_components_against_union_find(spark, monkeypatch, split):
+    monkeypatch.setattr("tagloom.operators.components.SPLIT", split)
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 200), (5, 5)]
     parent = {n: n for e in edges for n in e}
