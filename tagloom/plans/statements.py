@@ -18,7 +18,33 @@ _INCOMPLETE = f"""
 SELECT id, (bool_or(numbered < n OR low < 1 OR places < numbered OR high > places) OR min(disc) < 1 OR count(*) < max(disc)) AS incomplete FROM ({_DISCS}) GROUP BY id
 """
 
+# vowel signs that stand in a place of their own separate words; other marks are dropped, and the final sigma is a sigma
+_FOLD = r"trim(regexp_replace(replace(replace(replace(strip_accents(regexp_replace(lower({0}), '[\x{{0900}}-\x{{0903}}\x{{093A}}\x{{093B}}\x{{093E}}-\x{{094C}}\x{{094E}}\x{{094F}}\x{{0955}}-\x{{0957}}]', ' ', 'g')), 'ß', 'ss'), 'ς', 'σ'), '&', ' and '), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
+
+# Labels of versions; most are named as they read.
+_LABELS = {x: x for x in "deluxe expanded anniversary extended soundtrack live mono stereo acoustic instrumental drumless demo bonus".split()} | {"special": "special edition", "collector": "collector( s)? edition", "radio edit": "radio edit"}
+_YEAR = r"((?:18|19|20|21)\d{2})"
+
+
+def _dated(name: str, words: str) -> list[str]:
+    """The label, and the label with its year."""
+    pattern = rf"(?:^| )(?:{_YEAR} )?{words}(?: {_YEAR})?(?: |$)"
+    year = f"coalesce(nullif(regexp_extract(x, '{pattern}', 1), ''), nullif(regexp_extract(x, '{pattern}', 2), ''))"
+    return [f"CASE WHEN regexp_matches(x, '{pattern}') THEN '{name}' END", f"'{name}:' || {year}"]
+
+
+_FOUND = ", ".join([
+    *(f"CASE WHEN regexp_matches(x, '(^| ){words}( |$)') THEN '{name}' END" for name, words in _LABELS.items()),
+    r"'anniversary:' || nullif(regexp_extract(x, '(?:^| )(\d{1,3})(?:st|nd|rd|th) anniversary(?: |$)', 1), '')",
+    *_dated("remaster", "(?:digital )?remaster(?:ed)?"), *_dated("remix", "remix(?:ed)?"),
+])
+
 STATEMENTS = {
+    "version_qualifiers": f"""
+WITH f AS (SELECT collection_id, {_FOLD.format('album')} AS x FROM catalog_albums), l AS (SELECT collection_id, list_sort(list_filter([{_FOUND}], lambda v: v IS NOT NULL)) AS q, x FROM f)
+SELECT collection_id, CASE WHEN x IS NOT NULL THEN array_to_string(q, ',') END AS labels,
+  CASE WHEN x IS NOT NULL THEN array_to_string(list_filter(q, lambda v: NOT regexp_matches(v, '^(remaster(:.*)?|expanded|deluxe)$')), ',') END AS semantic FROM l""",
+    "fold_text": f"SELECT collection_id, {_FOLD.format('album')} AS album_n, {_FOLD.format('artist')} AS artist_n FROM catalog_albums",
     "glob_filter": r"""SELECT track_id, path FROM tracks WHERE (regexp_matches(path, '^/lib0[^/]/([^/]+/)*[^/]*\.flac$') OR regexp_matches(path, '^/lib1[^/]*/[^/]*/r0000[^/]*/1-[^/]*\.mp3$')) AND NOT regexp_matches(path, '^/lib05/')""",
     "protected_prefix_filter": r"""SELECT track_id, path FROM tracks WHERE len(list_filter(string_split(path, '/')[1:-2], lambda s: regexp_matches(lower(s), '^(an|ka|lib07)'))) > 0""",
     "required_fields": """
