@@ -1,39 +1,33 @@
 """Scores of local releases against catalog albums: candidates, track pairs, features and decision.
 
-Candidates come from an equi-join on the artist block and a word or the count of the album; text is folded once
-per row beforehand, cheap bounds run before the sequence ratio, and only pairs of tracks that share a position,
-an identity or a rare enough word are compared.
+Candidates are the best albums of one artist block; text is folded once per row beforehand, cheap bounds run before
+the sequence ratio, and only pairs of tracks that share a position, an identity or a rare enough word are compared.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import ids, measures, text
-from tagloom.operators import ranking
-from tagloom.session import cut
+from tagloom.operators import ranking, searching
+from tagloom.session import cut, shuffle_width
 
 #: A search keeps so many rows of a group; gates of album similarity and of pair titles.
 SEARCH_ROWS, ALBUM_GATE, TITLE_GATE = 12, 0.62, 0.93
 LEAST_SCORE, LEAST_MARGIN = 0.92, 0.10
-#: Letters a word on average from which albums without a common word may still be alike.
-LONG_WORDS = 9
+#: Distinct releases and albums of a block that one step of a search holds; tasks of a search.
+TILE, ALBUMS, MOST_TASKS = 2_000, 50_000, 2_000
 # Weights of the total, in the order in which they are added.
 WEIGHTS = {"album": 0.20, "artist": 0.15, "track_artist": 0.05, "track_title": 0.25, "duration": 0.20, "topology": 0.10, "year": 0.05}
 
 
-def _named(rows: DataFrame, prefix: str, key: str, *names: str) -> DataFrame:
-    """Rows with their folded album and artist, the artist block, and the keys under which similar albums or equal counts meet."""
+def _named(rows: DataFrame, key: str, *names: str) -> DataFrame:
+    """Rows with their folded album and artist and the artist block; rows without an artist match nothing."""
     album, artist, year, count = names
-    r = rows.select(key, F.col(album).alias("album"), F.col(artist).alias("artist"), F.col(year).alias("year"), F.col(count).alias("count")).where(F.col(artist).isNotNull())
+    r = rows.select(F.col(key).cast("long").alias("id"), F.col(album).alias("album"), F.col(artist).alias("artist"), F.col(year).alias("year"), F.col(count).alias("count")).where(F.col(artist).isNotNull())
     r = r.withColumn("artist", text.fold_udf("artist")).withColumn("album", F.coalesce(text.fold_udf("album"), F.lit(""))).where("artist <> ''")
-    words = F.array_distinct(F.filter(F.split("album", " "), lambda w: w != ""))
-    # without a common word the sequence ratio must be over 0.95, which takes words of 11 letters and more on average
-    long = F.length("album") >= LONG_WORDS * F.size(words)
-    keys = F.array_compact(F.concat(F.transform(words, lambda w: F.concat(F.lit("="), w)), F.array(F.concat(F.lit("#"), F.col("count").cast("string")), F.when(long, F.lit("*")))))
-    r = r.select(key, text.artist_block(F.col("artist")).alias("block"), keys.alias("keys"), F.struct("album", "artist", words.alias("words"), "year", "count").alias(prefix))
-    return cut(r)
+    return r.withColumn("block", text.artist_block(F.col("artist")))
 
 
 def album_search(groups: DataFrame, albums: DataFrame) -> DataFrame:
@@ -42,28 +36,28 @@ def album_search(groups: DataFrame, albums: DataFrame) -> DataFrame:
     `groups`: group_id, album, album_artist, year, track_count; `albums`: collection_id, album, artist,
     release_year, track_count. A pair needs equivalent artists, and similar albums or equal counts.
 
-    Inside an artist's block only albums meet that share a word or the count, so a block of very many albums falls
-    apart into as many keys. Pairs that can't reach the gate by their lengths and words drop out before the
-    sequence ratio, which runs once per distinct pair of album names.
+    Releases that are equal in all of this have one list, and of equal albums only the first can be in it. Tasks hold
+    tiles of the releases of an artist block and of its albums; only the best of each tile of albums leave a task.
     """
-    g, a = _named(groups, "g", "group_id", "album", "album_artist", "year", "track_count"), _named(albums, "c", "collection_id", "album", "artist", "release_year", "track_count")
-    spread = lambda df, key, side: df.select(key, "block", F.explode("keys").alias("key"), side)
-    met = spread(g, "group_id", "g").join(spread(a, "collection_id", "c"), ["block", "key"]).where(text.artist_match(F.col("g.artist"), F.col("c.artist")))
-    exact = F.coalesce(F.col("g.count") == F.col("c.count"), F.lit(False))
-    shared, either = F.size(F.array_intersect("g.words", "c.words")), F.size(F.array_union("g.words", "c.words"))
-    overlap = F.when(either > 0, shared / either).otherwise(0.0)
-    lengths = F.length("g.album") + F.length("c.album")
-    most = 0.65 * F.when(lengths > 0, 2 * F.least(F.length("g.album"), F.length("c.album")) / lengths).otherwise(0.0) + 0.35 * overlap
-    near = F.coalesce(F.abs(F.col("g.year") - F.col("c.year")) <= 1, F.lit(True))
-    kept = met.where(exact | (most >= ALBUM_GATE)).select("group_id", "collection_id", F.col("g.album").alias("l"), F.col("c.album").alias("r"), F.col("g.artist").alias("x"), F.col("c.artist").alias("y"), exact.alias("exact"), near.alias("near"))
-    pairs = cut(kept.dropDuplicates(["group_id", "collection_id"]))
-    names = pairs.where("l <> r").select("l", "r").distinct().withColumn("ratio", text.similarity_udf("l", "r"))
-    artists = pairs.where("x <> y").select("x", "y").distinct().withColumn("artist_ratio", text.similarity_udf("x", "y"))
-    scored = pairs.join(names, ["l", "r"], "left").join(artists, ["x", "y"], "left")
-    scored = scored.withColumn("album_score", F.coalesce("ratio", F.when((F.col("l") == F.col("r")) & (F.col("l") != ""), 1.0).otherwise(0.0))).withColumn("artist_score", F.coalesce("artist_ratio", F.lit(1.0)))
-    scored = scored.where((F.col("album_score") >= ALBUM_GATE) | F.col("exact"))
-    total = 0.52 * F.col("album_score") + 0.33 * F.col("artist_score") + 0.10 * F.col("exact").cast("double") + 0.05 * F.col("near").cast("double")
-    return ranking.top(scored.withColumn("search_score", total), "group_id", "search_score", "collection_id", SEARCH_ROWS)
+    alike = ["artist", "album", "year", "count"]
+    g = cut(_named(groups, "group_id", "album", "album_artist", "year", "track_count").withColumn("lead", F.min("id").over(Window.partitionBy(*alike))))
+    a = _named(albums, "collection_id", "album", "artist", "release_year", "track_count")
+    a = a.withColumn("n", F.row_number().over(Window.partitionBy(*alike).orderBy("id"))).where(F.col("n") <= SEARCH_ROWS)
+    a = a.groupBy("block", *alike).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    tiled = lambda df, size, order: df.withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("block").orderBy(*order)) - 1) / size))
+    l = cut(tiled(g.where("id = lead").dropDuplicates(["id"]).withColumn("ids", F.array("id")), TILE, ["id"]))
+    r = cut(tiled(a.withColumn("id", F.col("ids")[0]), ALBUMS, ["id"]).join(l.select("block").distinct(), "block", "left_semi"))
+    # every tile of releases meets every tile of albums of its block
+    most = l.groupBy("block").agg(F.max("tile").alias("lt")).join(r.groupBy("block").agg(F.max("tile").alias("rt")), "block")
+    tile = F.concat_ws(".", "lt", "rt")
+    x = l.join(most.select("block", "rt"), "block").withColumn("lt", F.col("tile")).withColumn("rt", F.explode(F.sequence(F.lit(0), F.col("rt")))).withColumn("tile", tile).withColumn("side", F.lit(0))
+    y = r.join(most.select("block", "lt"), "block").withColumn("rt", F.col("tile")).withColumn("lt", F.explode(F.sequence(F.lit(0), F.col("lt")))).withColumn("tile", tile).withColumn("side", F.lit(1))
+    parts = l.count() // TILE + 1
+    width = max(shuffle_width(groups.sparkSession), min(parts, MOST_TASKS))
+    rows = x.drop("lead").unionByName(y).select(F.pmod(F.xxhash64("block", "tile"), F.lit(max(parts, width))).alias("part"), "block", "tile", "side", "id", "ids", *alike)
+    found = rows.repartition(width, "part").groupBy("part").applyInPandas(searching.searcher(ALBUM_GATE, SEARCH_ROWS), "lead long, collection_id long, place int, search_score double")
+    best = ranking.top(found, "lead", "search_score", "collection_id", SEARCH_ROWS)
+    return g.select("lead", F.col("id").alias("group_id")).distinct().join(best, "lead").select("group_id", "collection_id", "place", "search_score")
 
 
 def _word_prefix(folded):

@@ -1,10 +1,13 @@
 import random
+from difflib import SequenceMatcher
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import text
-from tagloom.operators import assembly, diagnostics, grouping, identified, matching, ranking, relations, split_values
+from tagloom.functions.sequences import ratios
+from tagloom.operators import assembly, diagnostics, grouping, identified, matching, ranking, relations, searching, split_values
 from tagloom.operators.components import components
 from tagloom.operators.skew import lookup_join
 from tagloom.operators.streamed import grouped_rows
@@ -168,6 +171,39 @@ def test_album_search_against_brute_force(spark):
     assert rows == expected and len(rows) > 100
 
 
+def test_album_search_finds_names_without_common_words(spark):
+    g = spark.createDataFrame([(1, "Silver Night", "Orrin", None, 8), (2, "Silver Night", "Orrin", None, 8)], "group_id long, album string, album_artist string, year int, track_count int")
+    a = spark.createDataFrame([(10, "Silvernight", "The Orrin", None, 9), (11, "Garden", "Orrin", None, 9)], "collection_id long, album string, artist string, release_year int, track_count int")
+    assert sorted((r["group_id"], r["collection_id"], r["place"]) for r in matching.album_search(g, a).collect()) == [(1, 10, 1), (2, 10, 1)]
+
+
+def test_album_search_in_tiles_and_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    album = lambda: text.fold("".join(rng.choice("aab c") for _ in range(rng.randrange(0, 9))))
+    g = [(i, album(), "orrin", rng.choice([None, 2000]), rng.choice([None, 8, 9])) for i in range(60)]
+    a = [(100 + i, album(), "orrin", rng.choice([2000, 2005]), rng.choice([8, 9])) for i in range(80)]
+    expected = set()
+    for i, al, _, y, n in g:
+        scored = [(-(0.52 * s + 0.33 * 1.0 + 0.10 * (n == cn) + 0.05 * (y is None or abs(y - cy) <= 1)), c) for c, cal, _, cy, cn in a if (s := text.similarity(al, cal)) >= matching.ALBUM_GATE or n == cn]
+        expected |= {(i, c, place) for place, (_, c) in enumerate(sorted(scored)[: matching.SEARCH_ROWS], 1)}
+    for name, value in (("ROUNDS", (1, 2)), ("POOL", 50), ("CELLS", 60)):
+        monkeypatch.setattr(searching, name, value)
+    rows = pd.DataFrame([("orrin", "0.0", side, i, [i], x, artist, y, n) for side, rows in ((0, g), (1, a)) for i, x, artist, y, n in rows], columns=["block", "tile", "side", "id", "ids", "album", "artist", "year", "count"])
+    found = searching.searcher(matching.ALBUM_GATE, matching.SEARCH_ROWS)(rows)
+    assert set(zip(found["lead"], found["collection_id"], found["place"], strict=True)) == expected
+    monkeypatch.setattr(matching, "TILE", 7)
+    monkeypatch.setattr(matching, "ALBUMS", 30)
+    got = matching.album_search(spark.createDataFrame(g, "group_id long, album string, album_artist string, year int, track_count int"), spark.createDataFrame(a, "collection_id long, album string, artist string, release_year int, track_count int"))
+    assert {(r["group_id"], r["collection_id"], r["place"]) for r in got.collect()} == expected
+
+
+def test_sequence_ratios():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcé 漢") for _ in range(rng.choice([0, 1, 3, 9, 30, 210])))
+    left, right = [word() for _ in range(300)], [word() for _ in range(300)]
+    assert ratios(left, right).tolist() == [SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right, strict=True)]
+
+
 def test_groups_without_candidates_are_decided(spark):
     scored = spark.createDataFrame([(1, 5, 0.95)], "group_id long, collection_id long, total double")
     got = {r["group_id"]: (r["status"], r["collection_id"]) for r in matching.decide(scored, groups=spark.createDataFrame([(1,), (2,)], "group_id long")).collect()}
