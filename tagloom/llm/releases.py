@@ -9,10 +9,12 @@ of their class.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -34,8 +36,6 @@ BUCKET = 2_000
 TILE, SALT = 500, 8
 #: Least confidence of a match.
 THRESHOLD = 0.72
-#: Components of more records than this are assigned by rounds of mutual best pairs instead of exactly.
-EXACT = 2_000
 #: A title that another one goes on from counts as cut off only if it has so many characters; shorter ones are other titles.
 CUT = 20
 #: Similarities of title and artist from which two local releases are copies: before the assignment, and for damaged ones after it.
@@ -384,41 +384,69 @@ def best_assignment(score: np.ndarray) -> list[tuple[int, int]]:
     return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if 1 <= match[j] <= n and score[match[j] - 1, j - 1] > 0]
 
 
+def best_pairs(rows: list[tuple]) -> list[tuple]:
+    """The pairs (local, album, confidence) of the greatest total confidence, each record in one pair at most.
+
+    Shortest augmenting paths over the given pairs only, so that a component takes room for its pairs, not for a matrix.
+    A local record may also stay alone (album None), for nothing.
+    """
+    cost: dict = {}
+    for local, album, s in sorted(rows):
+        if s > 0:
+            near = cost.setdefault(local, {})
+            near[album] = min(near.get(album, 0.0), -s)
+    u, v, owner, taken = {}, {}, {}, {}  # prices of both sides, who has an album, which album a record has
+    for start, near in cost.items():
+        u[start] = min(0.0, min(c - v.get(j, 0.0) for j, c in near.items()))
+        heap, best, back, scanned, left = [], {}, {}, [], {}
+        row, d = start, 0.0
+        while True:
+            scanned.append((row, d))
+            heappush(heap, (d - u[row], 1, len(scanned), row, None))
+            for j, c in cost[row].items():
+                nd = d + max(0.0, c - u[row] - v.get(j, 0.0))
+                if j not in left and nd < best.get(j, math.inf):
+                    best[j], back[j] = nd, row
+                    heappush(heap, (nd, 0, j, row, j))
+            while True:
+                d, _, _, row, album = heappop(heap)
+                if album is None or (album not in left and best[album] == d):
+                    break
+            if album is None or album not in owner:
+                break
+            left[album] = d
+            row = owner[album]
+        for r, dr in scanned:
+            u[r] += d - dr
+        for j, dj in left.items():
+            v[j] = v.get(j, 0.0) + dj - d
+        end = row if album is None else back[album]
+        while True:
+            before = taken.get(end)
+            taken[end] = album
+            if album is not None:
+                owner[album] = end
+            if end == start:
+                break
+            album, end = before, back[before]
+    return [(x, j, -cost[x][j]) for x, j in taken.items() if j is not None]
+
+
 def _assign(rows: list[tuple]) -> list[tuple]:
     """The pairs (local, album, confidence) of one component -> those of the best assignment."""
-    locals_, albums = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
-    at, to = {x: i for i, x in enumerate(locals_)}, {x: i for i, x in enumerate(albums)}
-    if len(albums) == 1 or len(locals_) == 1:
+    if len({r[1] for r in rows}) == 1 or len({r[0] for r in rows}) == 1:
         return [min(rows, key=lambda r: (-r[2], r[1], r[0]))]
-    score = np.zeros((len(locals_), len(albums)))
-    for a, b, s in rows:
-        score[at[a], to[b]] = s
-    return [(locals_[i], albums[j], float(score[i, j])) for i, j in best_assignment(score)]
+    return best_pairs(rows)
 
 
 def assign(pairs: DataFrame) -> DataFrame:
-    """One-to-one pairs of the greatest total confidence. Components of more than `EXACT` records are assigned by
-    rounds in which every pair that is the best of both its sides is taken; everything stays distributed."""
+    """One-to-one pairs of the greatest total confidence, exactly for components of any size; one is held by one task."""
     pairs = cut(pairs)
     edges = pairs.select(F.concat(F.lit("l"), F.col("local")).alias("a"), F.concat(F.lit("c"), F.col("album")).alias("b"))
     parts = components(edges)
     of = parts.where("node LIKE 'l%'").select(F.expr("cast(substr(node, 2) as long)").alias("local"), "component")
-    sized = cut(pairs.join(of, "local"))
-    sizes = sized.groupBy("component").agg((F.countDistinct("local") + F.countDistinct("album")).alias("m"))
-    big = cut(sizes.where(F.col("m") > EXACT).select("component"))
-    small = sized.join(big, "component", "left_anti").select("component", "local", "album", "confidence")
-    out = grouped_rows(small, "component", ["local", "album"], _assign, "local long, album long, confidence double")
-    todo = cut(sized.join(big, "component").drop("component"))
-    while not todo.isEmpty():
-        first = lambda side, other: F.max(F.struct("confidence", (-F.col(other)).alias("o"))).alias("top")
-        l = todo.groupBy("local").agg(first("local", "album")).select("local", (-F.col("top.o")).alias("album"))
-        c = todo.groupBy("album").agg(first("album", "local")).select("album", (-F.col("top.o")).alias("local"))
-        taken = cut(l.join(c, ["local", "album"]).join(todo, ["local", "album"]).select("local", "album", "confidence"))
-        if taken.isEmpty():
-            break
-        out = out.unionByName(taken)
-        todo = cut(todo.join(taken.select("local"), "local", "left_anti").join(taken.select("album"), "album", "left_anti"))
-    return out
+    sized = pairs.join(of, "local").select("component", "local", "album", "confidence")
+    return grouped_rows(sized, "component", ["local", "album"], _assign, "local long, album long, confidence double")
 
 
 def copies(x: tuple, y: tuple, title: float, artist: float) -> bool:

@@ -241,6 +241,21 @@ def test_a_loser_keeps_no_album_of_another_release(spark):
     assert {(r["group_id"], r["collection_id"]) for r in releases.match_releases(groups, albums).collect()} == {(1, 10), (3, 10)}
 
 
+def test_components_of_any_size_are_assigned_exactly(spark):
+    # a chain in which each best pair taken first costs two others, longer than the 2,000 records that were assigned exactly before
+    n = 1100
+    rows = [(i, i, 0.8) for i in range(n)] + [(i, i + 1, 0.9 if i % 2 == 0 else 0.1) for i in range(n - 1)]
+    got = releases.assign(spark.createDataFrame(rows, "local long, album long, confidence double")).collect()
+    assert sum(r["confidence"] for r in got) == pytest.approx(0.8 * n) and len({r["album"] for r in got}) == len({r["local"] for r in got}) == n
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        score = np.round(rng.random((rng.integers(2, 7), rng.integers(2, 7))) * (rng.random() < 0.9), 1)
+        pairs = [(i, j, float(score[i, j])) for i, j in zip(*np.nonzero(score), strict=True)]
+        best = sum(score[i, j] for i, j in releases.best_assignment(score))
+        found = releases.best_pairs(pairs)
+        assert sum(s for _, _, s in found) == pytest.approx(best) and len({a for a, _, _ in found}) == len({b for _, b, _ in found}) == len(found)
+
+
 def test_best_assignment_is_optimal():
     import itertools
 
