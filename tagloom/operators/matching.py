@@ -74,14 +74,21 @@ def track_pairs(candidates: DataFrame, local: DataFrame, remote: DataFrame) -> D
     version labels, durations compatible where both are known.
     """
     fields = ["title", "artist", "disc_number", "track_number", "duration_ms"]
-    side = lambda df, key, item, p: cut(df.where("title IS NOT NULL").select(key, item, *(F.col(f).alias(p + f) for f in fields)).withColumn(p + "n", text.fold_udf(p + "title")).withColumn(p + "identity", text.track_identity_udf(p + "title")).withColumn(p + "labels", text.qualifiers_udf(p + "title")))
+    coded = lambda c: F.xxhash64(c)
+
+    def side(df, key, item, p):
+        """Tracks of candidates with the codes of what pairs have in common; equal places need equal identities, so only tracks without a number meet by place."""
+        t = df.where("title IS NOT NULL").join(candidates.select(key).distinct(), key, "left_semi").select(key, item, *(F.col(f).alias(p + f) for f in fields))
+        t = t.withColumn("n", text.fold_udf(p + "title")).withColumn("identity", text.track_identity_udf(p + "title")).withColumn("labels", text.qualifiers_udf(p + "title"))
+        place = F.when(F.col(p + "track_number").isNull(), F.concat_ws(".", F.lit("#"), F.coalesce(p + "disc_number", F.lit(1))))
+        blocks = F.array_distinct(F.concat(F.array_compact(F.array(place, F.concat(F.lit("="), "identity"))), _word_prefix(F.col("n")), _word_prefix(F.col("identity"))))
+        return cut(t.select(key, item, *(p + f for f in fields), coded("n").alias(p + "n"), coded("identity").alias(p + "identity"), coded("labels").alias(p + "labels"), F.transform(blocks, coded).alias(p + "blocks")))
+
     l, r = side(local, "group_id", "track_id", "l_"), side(remote, "collection_id", "catalog_track_id", "r_")
-    place = lambda p: F.concat_ws(".", F.lit("#"), F.coalesce(p + "disc_number", F.lit(1)), F.col(p + "track_number"))
-    blocks = lambda p: F.array_distinct(F.concat(F.array(place(p), F.concat(F.lit("="), p + "identity")), _word_prefix(F.col(p + "n")), _word_prefix(F.col(p + "identity"))))
-    lb = candidates.join(l.select("group_id", "track_id", F.explode(blocks("l_")).alias("block")), "group_id")
-    rb = r.select("collection_id", "catalog_track_id", F.explode(blocks("r_")).alias("block"))
+    lb = candidates.join(l.select("group_id", "track_id", F.explode("l_blocks").alias("block")), "group_id")
+    rb = r.select("collection_id", "catalog_track_id", F.explode("r_blocks").alias("block"))
     near = lb.join(rb, ["collection_id", "block"]).select("group_id", "collection_id", "track_id", "catalog_track_id").distinct()
-    p = near.join(l, ["group_id", "track_id"]).join(r, ["collection_id", "catalog_track_id"])
+    p = near.join(l.drop("l_blocks"), ["group_id", "track_id"]).join(r.drop("r_blocks"), ["collection_id", "catalog_track_id"])
     same_place = (F.coalesce("l_disc_number", F.lit(1)) == F.coalesce("r_disc_number", F.lit(1))) & (F.col("l_track_number") == F.col("r_track_number"))
     p = p.where(F.col("l_labels") == F.col("r_labels")).where(~F.coalesce(same_place, F.lit(False)) | (F.col("l_identity") == F.col("r_identity")))
     p = p.withColumn("duration_score", measures.duration_similarity(F.col("l_duration_ms"), F.col("r_duration_ms"))).where("duration_score > 0")

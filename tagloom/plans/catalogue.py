@@ -236,9 +236,10 @@ def clear_winner(spark, d):
 
 def _logical(spark, d):
     """The logical tracks of each local release: first deliveries, with duplicate encodings collapsed."""
-    first = feeds.first_deliveries(tracks(spark, d), "path", "ingested_at", tie="track_id")
+    needed = ["path", "ingested_at", "track_id", "title", "artist", "disc_number", "track_number", "duration_ms", "mb_recording_id"]
+    first = feeds.first_deliveries(tracks(spark, d).select(*needed), "path", "ingested_at", tie="track_id").drop("ingested_at")
     members = groups(spark, d).select(F.col("group_id").alias("component"), F.explode("files").alias("path")).join(first, "path")
-    members = cut(members.where("title IS NOT NULL").withColumn("recording_id", ids.uuid(F.col("mb_recording_id"))))
+    members = cut(members.where("title IS NOT NULL").withColumn("recording_id", ids.uuid(F.col("mb_recording_id"))).drop("mb_recording_id"))
     kept = grouping.logical_tracks(members)
     return members.join(kept, ["component", "path"]).select(F.col("component").alias("group_id"), "track_id", "title", "artist", "disc_number", "track_number", "duration_ms")
 

@@ -83,3 +83,13 @@ def test_paths(spark):
     assert [g[0] for g in got] == [True, False, True, False]
     got = one(spark, [(["/a/b/1.mp3", "/a/b/c/2.mp3"],), (["/a/1.mp3", "/b/2.mp3"],), (["/a/b/1.mp3"],)], "p array<string>", paths.common_folder(F.col("p")))
     assert [g[0] for g in got] == ["/a/b", "/", "/a/b"]
+
+
+def test_plain_titles_run_no_label_pattern(monkeypatch):
+    def never(*_):
+        raise AssertionError("a title without any label was searched for each of them")
+
+    monkeypatch.setattr(text.re, "search", never)
+    assert text.qualifiers("Harbour Bell") == set() and text.title_similarity("Harbour  Bell", "harbour bell") == 1.0
+    monkeypatch.undo()
+    assert text.qualifiers("Bell (2011 Digital Remaster, 20th Anniversary)") == {"remaster", "anniversary", "anniversary:20", "remaster:2011"}
