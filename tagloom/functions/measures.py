@@ -35,14 +35,17 @@ def duration_multiset(left: Column, right: Column, left_count: Column, right_cou
     Nulls in the arrays are unknown; counts are the numbers of tracks, known or not. With no known pair the
     coverage is one half.
     """
-    a, b = (F.array_sort(F.filter(c, lambda x: x.isNotNull())) for c in (left, right))
-    n = F.least(F.size(a), F.size(b))
-    pairs = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  # `f` of a value that is computed once
+    a, b = (F.sort_array(F.array_compact(c)) for c in (left, right))
+    shorter = lambda s: F.least(F.size(s["a"]), F.size(s["b"]))
+    zipped = lambda s, n: F.zip_with(F.slice(s["a"], F.lit(1), n), F.slice(s["b"], F.lit(1), n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     gap = lambda p: F.abs(p["x"] - p["y"]).cast("double")
     allowed = lambda p: F.greatest(F.lit(10000.0), F.greatest(p["x"], p["y"]) * 0.03)
-    near = F.filter(pairs, lambda p: gap(p) <= allowed(p))
     below = F.greatest(left_count, right_count, F.lit(1))
-    closeness = F.aggregate(near, F.lit(0.0), lambda s, p: s + (1.0 - 0.15 * (gap(p) / allowed(p))))
-    return F.when(n == 0, F.struct(F.lit(0.5).alias("coverage"), F.lit(0.0).alias("closeness"), F.lit(0.0).alias("distance"))).otherwise(
-        F.struct((F.size(near) / below).alias("coverage"), (closeness / below).alias("closeness"), F.aggregate(pairs, F.lit(0.0), lambda s, p: s + gap(p)).alias("distance"))
+    closeness = lambda near: F.aggregate(near, F.lit(0.0), lambda s, p: s + (1.0 - 0.15 * (gap(p) / allowed(p))))
+    distance = lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + gap(p))
+    scored = lambda e: F.when(F.size(e["pairs"]) == 0, F.struct(F.lit(0.5).alias("coverage"), F.lit(0.0).alias("closeness"), F.lit(0.0).alias("distance"))).otherwise(
+        F.struct((F.size(e["near"]) / below).alias("coverage"), (closeness(e["near"]) / below).alias("closeness"), distance(e["pairs"]).alias("distance"))
     )
+    pairs = once(F.struct(a.alias("a"), b.alias("b")), lambda s: zipped(s, shorter(s)))
+    return once(once(pairs, lambda p: F.struct(p.alias("pairs"), F.filter(p, lambda x: gap(x) <= allowed(x)).alias("near"))), scored)

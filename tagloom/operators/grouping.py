@@ -6,7 +6,7 @@ states that its keys belong together, and equal statements are combined before t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import ids, paths, text
@@ -88,14 +88,22 @@ def _fold_position(rows: list[tuple]) -> list[tuple]:
     return [(k[1], k[0]) for k in kept]
 
 
-def logical_tracks(members: DataFrame) -> DataFrame:
-    """(component, path) of one track per place and presentation: duplicate encodings of a track collapse.
+def logical_tracks(members: DataFrame, *carried: str) -> DataFrame:
+    """(component, path) and the columns `carried` of one track per place and presentation: duplicate encodings of a track collapse.
 
     The order of paths decides which copy stays, except that a copy with a recording id replaces one without.
-    Copies equal in everything that matters are reduced to their first path before any group is gathered.
+    Tracks alone at their place stay as they are. Of the others, copies equal in everything that matters are reduced to
+    their first path before any group is gathered. Folded titles matter only where no number tells the place.
     """
-    m = members.withColumn("disc", F.coalesce("disc_number", F.lit(1))).withColumn("title_n", text.fold_udf("title"))
-    slot = F.when(F.col("track_number") > 0, F.xxhash64("disc", "track_number")).otherwise(F.xxhash64("disc", "title_n", F.bround(F.coalesce("duration_ms", F.lit(0)) / 2000)))
-    first = m.withColumn("slot", slot).groupBy("component", "slot", "title", "title_n", "artist", "recording_id", F.col("track_number").alias("number")).agg(F.min("path").alias("path"))
-    placed = first.select(F.xxhash64("component", "slot").alias("place"), "path", "component", "number", "title", "title_n", "artist", "recording_id")
-    return grouped_rows(placed, "place", ["path"], _fold_position, "component long, path string")
+    m = members.withColumn("disc", F.coalesce("disc_number", F.lit(1))).withColumn("number", F.col("track_number"))
+    m = m.withColumn("title_n", text.fold_udf(F.when(F.col("number") > 0, F.lit(None)).otherwise(F.col("title"))))
+    slot = F.when(F.col("number") > 0, F.xxhash64("disc", "number")).otherwise(F.xxhash64("disc", "title_n", F.bround(F.coalesce("duration_ms", F.lit(0)) / 2000)))
+    names = ["component", "number", "title", "title_n", "artist", "recording_id"]
+    placed = m.withColumn("place", F.xxhash64("component", slot)).select("place", "path", *dict.fromkeys([*names, *carried]))
+    placed = cut(placed.withColumn("n", F.count("*").over(Window.partitionBy("place"))))
+    several = placed.where("n > 1")
+    first = several.groupBy("place", *names).agg(F.min("path").alias("path")).select("place", "path", *names)
+    kept = grouped_rows(first, "place", ["path"], _fold_position, "component long, path string")
+    if carried:
+        kept = kept.join(several.select("component", "path", *carried).dropDuplicates(["component", "path"]), ["component", "path"])
+    return placed.where("n = 1").select("component", "path", *carried).unionByName(cut(kept))

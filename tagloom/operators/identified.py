@@ -41,7 +41,9 @@ def scores(candidates: DataFrame, groups: DataFrame, albums: DataFrame, local: D
     """
     lists = lambda df, key, p: df.groupBy(key).agg(F.collect_list("duration_ms").alias(f"{p}_ms"), F.count("*").alias(f"{p}_tracks"), F.count("duration_ms").alias(f"{p}_known"))
     g = groups.select("group_id", F.col("album").alias("g_album"), F.col("album_artist").alias("g_artist"), F.col("year").alias("g_year"), ids.barcode_key(F.col("barcode")).alias("g_code"), ids.uuid(F.col("mb_release_id")).alias("g_id"), "complete_ids", "conflicts")
+    g = g.withColumn("g_owner", text.fold_udf("g_artist")).withColumn("g_identity", text.album_identity_udf("g_album"))
     a = albums.select("collection_id", F.col("album").alias("c_album"), F.col("artist").alias("c_artist"), F.col("release_year").alias("c_year"), F.col("track_count").alias("c_count"))
+    a = a.join(candidates.select("collection_id").distinct(), "collection_id", "left_semi").withColumn("c_owner", text.fold_udf("c_artist")).withColumn("c_identity", text.album_identity_udf("c_album"))
     s = candidates.join(g, "group_id").join(a, "collection_id").join(lists(local, "group_id", "l"), "group_id", "left").join(lists(remote, "collection_id", "r"), "collection_id", "left")
     s = s.fillna(0, ["l_tracks", "r_tracks", "l_known", "r_known"])
     s = s.withColumn("code", ids.barcode_key(F.col("verified_barcode"))).withColumn("linked_id", ids.uuid(F.col("verified_release_id")))
@@ -56,8 +58,8 @@ def scores(candidates: DataFrame, groups: DataFrame, albums: DataFrame, local: D
     s = s.withColumn("track_count", F.when(F.col("expected") > 0, measures.count_score(F.col("l_tracks"), F.col("expected"))).otherwise(0.0))
     s = s.withColumn("album", text.similarity_udf(F.coalesce("g_album", F.lit("")), F.coalesce("c_album", F.lit("")))).withColumn("artist", text.similarity_udf(F.coalesce("g_artist", F.lit("")), F.coalesce("c_artist", F.lit(""))))
     s = s.withColumn("year", measures.year_score(F.col("g_year"), F.col("c_year"), 10))
-    same_album = _true(text.album_identity_udf("g_album") == text.album_identity_udf("c_album"))
-    same_artist = text.artist_match(text.fold_udf("g_artist"), text.fold_udf("c_artist"))
+    same_album = _true(F.col("g_identity") == F.col("c_identity"))
+    same_artist = text.artist_match(F.col("g_owner"), F.col("c_owner"))
     s = s.withColumn("same_album", same_album).withColumn("same_artist", same_artist)
     wrong_code, wrong_id = _true(F.col("g_code") != F.col("code")), _true(F.col("g_id") != F.col("linked_id"))
     direct, short, off = F.col("direct"), F.col("expected") != F.col("r_tracks"), F.col("l_tracks") != F.col("expected")

@@ -16,6 +16,8 @@ from tagloom.functions.sequences import ratios
 
 #: Pairs bounded at once, candidates scored at once, best bounds scored in the first rounds.
 CELLS, POOL, ROUNDS = 400_000, 400_000, (16, 64)
+#: Blocks of more albums are bounded release by release.
+FEW = 256
 #: Slack of bounds against rounding.
 EPS = 1e-9
 
@@ -61,10 +63,11 @@ class _Block:
         self.lsize, self.rsize = np.array(list(map(len, self.ln))), np.array(list(map(len, self.rn)))
         self.lwords, rwords = [set(x.split()) for x in self.ln], [set(x.split()) for x in self.rn]
         self.lw, self.rw = np.array(list(map(len, self.lwords))), np.array(list(map(len, rwords)))
-        self.places: dict[str, list[int]] = {}
+        places: dict[str, list[int]] = {}
         for k, words in enumerate(rwords):
             for w in words:
-                self.places.setdefault(w, []).append(k)
+                places.setdefault(w, []).append(k)
+        self.places = {w: np.array(k) for w, k in places.items()} if len(self.rn) > FEW else places
         la, ra = {x: n for n, x in enumerate(dict.fromkeys(l[1]))}, {x: n for n, x in enumerate(dict.fromkeys(r[1]))}
         self.artist = np.array([[(1.0 if x == y else text.similarity(x, y)) if text.same_artist(x, y) else -1.0 for y in ra] for x in la])
         self.lcode, self.rcode = np.array([la[x] for x in l[1]]), np.array([ra[x] for x in r[1]])
@@ -89,10 +92,15 @@ class _Block:
         i, j = np.nonzero((artist >= 0) & (exact | (most >= self.gate - EPS)))
         common = np.zeros(len(i), np.int64)
         l, r = self.lc[:, s], self.rc
-        for k in range(0, len(i), 65536):
-            x, y = i[k : k + 65536], j[k : k + 65536]
-            common[k : k + 65536] = sum(np.minimum(l[c, x], r[c, y]).astype(np.int32) for c in range(32))
         ends = np.searchsorted(i, np.arange(len(words) + 1))
+        if len(self.rn) > FEW:
+            for k in range(len(words)):
+                at = slice(ends[k], ends[k + 1])
+                common[at] = np.minimum(l[:, k, None], r[:, j[at]]).sum(0, dtype=np.uint32 if r.dtype.itemsize > 1 else np.uint16)
+        else:
+            for k in range(0, len(i), 65536):
+                x, y = i[k : k + 65536], j[k : k + 65536]
+                common[k : k + 65536] = sum(np.minimum(l[c, x], r[c, y]).astype(np.int32) for c in range(32))
         for k in np.flatnonzero(np.diff(ends) > ROUNDS[0]):  # the letters' order bounds closer where not all are scored anyway
             self.masks = self.masks or _masks(self.rn)
             at = np.arange(ends[k], ends[k + 1])
@@ -133,7 +141,7 @@ def _album_scores(left: list[str], right: list[str], overlap: np.ndarray) -> np.
     return out
 
 
-def _best(row: np.ndarray, pairs: tuple[np.ndarray, ...], left: list[str], right: list[str], gate: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _best(row: np.ndarray, pairs: tuple[np.ndarray, ...], left: np.ndarray, right: np.ndarray, gate: float, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(index, score) of the candidates that may be among the k best of their row; the rows of one release are complete."""
     overlap, artist, exact, near, bound = pairs
     order, place = _places(row, -bound)
@@ -143,7 +151,7 @@ def _best(row: np.ndarray, pairs: tuple[np.ndarray, ...], left: list[str], right
     for limit in (*ROUNDS, len(row) + 1):
         at = np.flatnonzero(~done & (rank < limit) & (bound >= least[row] - EPS))
         if len(at):
-            album = _album_scores([left[n] for n in at], [right[n] for n in at], overlap[at])
+            album = _album_scores(left[at].tolist(), right[at].tolist(), overlap[at])
             score[at] = np.where(exact[at] | (album >= gate), _total(album, artist[at], exact[at], near[at]), -1.0)
             done[at] = True
         good = np.flatnonzero(score >= 0)
@@ -160,8 +168,7 @@ def searcher(gate: float, k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
     def flush(pool: list[tuple]) -> pd.DataFrame:
         row = np.concatenate([p[0] for p in pool])
-        leads, ids = np.concatenate([p[1] for p in pool]), [x for p in pool for x in p[2]]
-        left, right = [x for p in pool for x in p[3]], [x for p in pool for x in p[4]]
+        leads, ids, left, right = (np.concatenate([p[n] for p in pool]) for n in range(1, 5))
         at, score = _best(row, tuple(np.concatenate([p[5][n] for p in pool]) for n in range(5)), left, right, gate, k)
         sizes = np.array([len(ids[n]) for n in at], int)
         row, lead, score = np.repeat(row[at], sizes), np.repeat(leads[at], sizes), np.repeat(score, sizes)
@@ -183,10 +190,11 @@ def searcher(gate: float, k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 continue
             b = _Block((album[a:m], artist[a:m], year[a:m], count[a:m]), (album[m:z], artist[m:z], year[m:z], count[m:z]), gate)
             l, r = range(a, m), range(m, z)
+            own, names, kept = (np.fromiter(v, object, len(v)) for v in (b.ln, b.rn, ids[m:z]))
             step = max(1, CELLS // len(r))
             for s in range(0, len(l), step):
                 i, j, *pairs = b.candidates(slice(s, min(s + step, len(l))))
-                yield len(i), (i + rows, lead[a + i], [ids[m + n] for n in j], [b.ln[n] for n in i], [b.rn[n] for n in j], pairs)
+                yield len(i), (i + rows, lead[a + i], kept[j], own[i], names[j], pairs)
             rows += len(l)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -234,20 +234,23 @@ def clear_winner(spark, d):
     return ranking.clear_winner(o, "o_custkey", "quality", "o_orderkey", 0.6, 0.1)
 
 
-def _logical(spark, d):
-    """The logical tracks of each local release: first deliveries, with duplicate encodings collapsed."""
+def _logical(spark, d, releases, *carried):
+    """The logical tracks of some local releases: first deliveries, with duplicate encodings collapsed."""
     needed = ["path", "ingested_at", "track_id", "title", "artist", "disc_number", "track_number", "duration_ms", "mb_recording_id"]
-    first = feeds.first_deliveries(tracks(spark, d).select(*needed), "path", "ingested_at", tie="track_id").drop("ingested_at")
-    members = groups(spark, d).select(F.col("group_id").alias("component"), F.explode("files").alias("path")).join(first, "path")
-    members = cut(members.where("title IS NOT NULL").withColumn("recording_id", ids.uuid(F.col("mb_recording_id"))).drop("mb_recording_id"))
-    kept = grouping.logical_tracks(members)
-    return members.join(kept, ["component", "path"]).select(F.col("component").alias("group_id"), "track_id", "title", "artist", "disc_number", "track_number", "duration_ms")
+    files = releases.select(F.col("group_id").alias("component"), F.explode("files").alias("path"))
+    listed = tracks(spark, d).select(*needed).join(files, "path", "left_semi")
+    first = feeds.first_deliveries(listed, "path", "ingested_at", tie="track_id").drop("ingested_at")
+    members = files.join(first, "path").where("title IS NOT NULL").withColumn("recording_id", ids.uuid(F.col("mb_recording_id"))).drop("mb_recording_id")
+    return grouping.logical_tracks(members, *carried).select(F.col("component").alias("group_id"), *carried)
 
 
-def _music(spark, d):
-    local = cut(_logical(spark, d))
+def _music(spark, d, releases=None, *carried):
+    """Releases (all, if none are given) with the number of their logical tracks, albums, logical tracks with the columns `carried` (all, if none are named), and songs."""
+    own = groups(spark, d) if releases is None else releases
+    local = _logical(spark, d, own, *(carried or ("track_id", "title", "artist", "disc_number", "track_number", "duration_ms")))
     counts = local.groupBy("group_id").agg(F.count("*").cast("int").alias("logical"))
-    g = groups(spark, d).join(counts, "group_id", "left").select("group_id", "album", "album_artist", "year", F.coalesce("logical", "track_count").alias("track_count"))
+    g = own.join(counts, "group_id", "left").withColumn("track_count", F.coalesce("logical", "track_count")).drop("files", "logical")
+    g = g.select("group_id", "album", "album_artist", "year", "track_count") if releases is None else g
     a = albums(spark, d).select("collection_id", "album", "artist", "release_year", "track_count")
     remote = songs(spark, d).select("collection_id", "catalog_track_id", "title", "artist", "disc_number", "track_number", "duration_ms")
     return cut(g), a, local, remote
@@ -288,9 +291,9 @@ def same_albums_twice(spark, d):
 
 def identifier_scores(spark, d):
     """Scores of the albums that a search finds for releases with an identifier, as if it had led there."""
-    g, a, local, remote = _music(spark, d)
-    tags = groups(spark, d).select("group_id", "barcode", "mb_release_id", F.col("mb_provenance_complete").alias("complete_ids"), F.col("identifier_conflicts").alias("conflicts"))
-    named = cut(g.join(tags, "group_id").where(ids.basis(F.col("mb_release_id"), F.col("barcode")) != "legacy"))
+    tagged = groups(spark, d).where(ids.basis(F.col("mb_release_id"), F.col("barcode")) != "legacy")
+    tagged = tagged.select("group_id", "album", "album_artist", "year", "track_count", "files", "barcode", "mb_release_id", F.col("mb_provenance_complete").alias("complete_ids"), F.col("identifier_conflicts").alias("conflicts"))
+    named, a, local, remote = _music(spark, d, tagged, "duration_ms")
     found = matching.album_search(named, a).join(named.select("group_id", "barcode", "mb_release_id"), "group_id")
     found = found.select("group_id", "collection_id", F.col("barcode").alias("verified_barcode"), F.col("mb_release_id").alias("verified_release_id"), F.lit("musicbrainz_barcode").alias("resolution"), F.lit(False).alias("recordings_verified"))
     return identified.scores(cut(found), named, a, local, remote)

@@ -11,7 +11,8 @@ def first_deliveries(stream: DataFrame, key: str, at: str, late: str = "30 days"
     deliveries of one time are told apart by the smallest `tie`."""
     if stream.isStreaming:
         return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
-    return stream.groupBy(key).agg(F.min_by(F.struct(*stream.columns), F.struct(at, tie) if tie else F.col(at)).alias("r")).select("r.*")
+    first = stream.groupBy(key).agg(F.min_by(F.struct(*stream.columns), F.struct(at, tie) if tie else F.col(at)).alias("r"))
+    return first.select(*(c if c == key else f"r.{c}" for c in stream.columns))  # the key itself, so that rows stay known to be partitioned by it
 
 
 def arrivals(stream: DataFrame, at: str, source: str, window: str = "1 day", late: str = "30 days") -> DataFrame:

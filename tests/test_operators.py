@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.functions import text
+from tagloom.functions import measures, text
 from tagloom.functions.sequences import ratios
 from tagloom.operators import assembly, diagnostics, grouping, identified, matching, ranking, relations, searching, split_values
 from tagloom.operators.components import components
@@ -85,6 +85,25 @@ def test_logical_tracks(spark):
     assert sorted(r["path"] for r in got.collect()) == ["/m/x/b.mp3", "/m/x/c.mp3", "/m/x/d.mp3", "/m/x/e.mp3"]
 
 
+def test_logical_tracks_carry_columns_and_fold_only_shared_places(spark):
+    rows = [track("/m/x/a.flac", title="Song"), track("/m/x/b.mp3", title="Song [Explicit]"), track("/m/x/c.mp3", title="Song", number=2), track("/m/x/d.mp3", title="SONG!", number=None), track("/m/x/e.mp3", title="Song", number=None)]
+    members = spark.createDataFrame(rows, TRACK).withColumn("component", F.lit(7)).withColumn("recording_id", F.lit(None).cast("string")).withColumn("size", F.length("title"))
+    got = grouping.logical_tracks(members, "size", "title")
+    assert got.columns == ["component", "path", "size", "title"]
+    assert sorted((r["path"], r["size"], r["title"]) for r in got.collect()) == [("/m/x/a.flac", 4, "Song"), ("/m/x/c.mp3", 4, "Song"), ("/m/x/d.mp3", 5, "SONG!")]
+
+
+def test_durations_are_sorted_once_and_similarities_are_batched(spark):
+    df = spark.createDataFrame([([300000, None, 100000], [100500, 330000], 3, 2), ([None], [5], 1, 1), ([], [], 0, 0)], "a array<long>, b array<long>, n long, m long")
+    e = df.select(measures.duration_multiset(F.col("a"), F.col("b"), F.col("n"), F.col("m")).alias("e"))
+    assert e._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 2
+    assert [tuple(r["e"]) for r in e.collect()] == [(1 / 3, pytest.approx((1.0 - 0.15 * 0.05) / 3), 30500.0), (0.5, 0.0, 0.0), (0.5, 0.0, 0.0)]
+    pairs = [("Night Ledger", "night ledger!"), ("Night Ledger", "Ledger of Night"), ("", "x"), ("!", "!"), ("Silver", "Gold")]
+    assert text.similarities(pairs) == [text.similarity(*p) for p in pairs]
+    got = spark.createDataFrame([*pairs, (None, "x")], "a string, b string").select(text.similarity_udf("a", "b")).collect()
+    assert [r[0] for r in got] == [*text.similarities(pairs), None]
+
+
 POSITION = "id long, disc_number int, track_number int, track_total int, disc_total int"
 
 
