@@ -111,15 +111,18 @@ def equivalent_releases(albums: DataFrame, songs: DataFrame) -> DataFrame:
     """(a, b), a < b: catalog albums that are one release twice.
 
     Names, year, count, labels and every title at its place are equal, artists equivalent and durations compatible.
-    All that must be equal is hashed into one signature, so only albums that can be a pair ever meet.
+    All that must be equal is hashed into one signature, so only albums that can be a pair ever meet; songs are read
+    only for albums that are not alone with what the albums table says of them.
     `albums`: collection_id, album, artist, release_year, track_count; `songs`: collection_id, title, artist,
     disc_number, track_number, duration_ms. Albums without songs, with unknown places or durations are no pairs.
     """
-    p = positions(songs, "collection_id").withColumn("title_n", text.fold_udf("title")).withColumn("artist_n", text.fold_udf("artist")).withColumn("labels", text.qualifiers_udf("title"))
+    named = albums.select("collection_id", text.fold_udf("album").alias("album_n"), text.fold_udf("artist").alias("owner"), text.qualifiers_udf("album").alias("labels"), "release_year", "track_count").where("owner <> ''")
+    named = cut(named.withColumn("names", F.xxhash64("album_n", text.artist_block(F.col("owner")), "release_year", "track_count", "labels")))
+    named = cut(named.join(named.groupBy("names").count().where("count > 1"), "names", "left_semi"))
+    p = positions(songs.join(named.select("collection_id").distinct(), "collection_id", "left_semi"), "collection_id").withColumn("title_n", text.fold_udf("title")).withColumn("artist_n", text.fold_udf("artist")).withColumn("labels", text.qualifiers_udf("title"))
     p = cut(p.select("collection_id", "disc", "number", "songs", "title_n", "artist_n", "labels", "duration_ms"))
     lists = p.groupBy("collection_id").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("disc", "number", "title_n", "labels")))).alias("listing"), F.bool_and(F.col("duration_ms").isNotNull() & F.col("title_n").isNotNull()).alias("known")).where("known")
-    named = albums.select("collection_id", text.fold_udf("album").alias("album_n"), text.fold_udf("artist").alias("owner"), text.qualifiers_udf("album").alias("labels"), "release_year", "track_count")
-    signed = cut(named.join(lists, "collection_id").withColumn("signature", F.xxhash64("album_n", text.artist_block(F.col("owner")), "release_year", "track_count", "labels", "listing")).select("collection_id", "owner", "signature"))
+    signed = cut(named.join(lists, "collection_id").withColumn("signature", F.xxhash64("names", "album_n", text.artist_block(F.col("owner")), "release_year", "track_count", "labels", "listing")).select("collection_id", "owner", "signature"))
     met = signed.alias("x").join(signed.alias("y"), (F.col("x.signature") == F.col("y.signature")) & (F.col("x.collection_id") < F.col("y.collection_id")))
     met = met.where(text.artist_match(F.col("x.owner"), F.col("y.owner"))).select(F.col("x.collection_id").alias("a"), F.col("y.collection_id").alias("b"))
     l, r = p.select(F.col("collection_id").alias("a"), "disc", "number", "songs", F.col("artist_n").alias("l_artist"), F.col("duration_ms").alias("l_ms")), p.select(F.col("collection_id").alias("b"), "disc", "number", F.col("artist_n").alias("r_artist"), F.col("duration_ms").alias("r_ms"))

@@ -315,6 +315,16 @@ def test_equivalent_releases_and_alignment(spark):
     assert [r[0] for r in ties.select(identified.breaks_tie(F.col("a"), F.col("b"))).collect()] == [True, False, False, False]
 
 
+def test_songs_are_read_only_for_albums_that_share_their_names(spark, monkeypatch):
+    fields = "collection_id long, album string, artist string, release_year int, track_count int"
+    albums = spark.createDataFrame([(10, "Night Ledger", "The Orrin", 2011, 6), (11, "night ledger!", "Orrin", 2011, 6), (12, "Night Ledger", "Orrin", 2012, 6), (13, "Night Ledger", "", 2011, 6), (14, "Night Ledger", None, 2011, 6), (15, None, "Orrin", None, None), (16, None, "Orrin", None, None)], fields)
+    remote = spark.createDataFrame([r for i in range(10, 17) for r in songs_of(i, 180000)], f"collection_id long, {SONG}")
+    seen, positions = [], identified.positions
+    monkeypatch.setattr(identified, "positions", lambda songs, key: seen.append({r[0] for r in songs.select(key).collect()}) or positions(songs, key))
+    assert sorted(tuple(r) for r in identified.equivalent_releases(albums, remote).collect()) == [(10, 11), (15, 16)]
+    assert seen == [{10, 11, 15, 16}]
+
+
 def test_relations(spark):
     rows = spark.createDataFrame([("g", 1, "a"), ("g", 1, "b"), ("g", 2, "a"), ("g", 2, None), ("h", 1, "a"), (None, None, None)], "g string, p int, v string")
     assert sorted((r["g"] or "", r["conflicts"]) for r in relations.conflicting(rows, "g", ["p"], "v").collect()) == [("", 0), ("g", 1), ("h", 0)]
