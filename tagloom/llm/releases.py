@@ -66,6 +66,9 @@ def title_words(title: str) -> list[str]:
     return ["vol" if w == "volume" else w for w in re.findall(r"[^\W_]+", text.replace("'", "").replace("’", ""))]
 
 
+variant = lru_cache(maxsize=1 << 16)(close)  # neighbours in a sort order have the same words again and again
+
+
 @lru_cache(maxsize=1 << 16)
 def is_number(word: str) -> bool:
     return word.isdigit() or re.fullmatch("[ivx]+", word) is not None
@@ -90,7 +93,7 @@ def title_similarity(a: list[str], b: list[str]) -> float:
             same += len(w)
     for w in list(left):
         for v in right:
-            if close(w, v):
+            if variant(w, v):
                 left.remove(w)
                 right.remove(v)
                 near += len(w)
@@ -116,7 +119,7 @@ def artist_similarity(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     short, long = sorted((" ".join(a), " ".join(b)), key=len)
     if len(short) >= 8 and long.startswith(short):
         return 0.8
-    shared = [w for w in a if any(w == v or (len(w) > 3 and close(w, v)) for v in b)]
+    shared = [w for w in a if any(w == v or (len(w) > 3 and variant(w, v)) for v in b)]
     union = len(set(a) | set(b))
     return 0.5 * len(shared) / union
 
@@ -154,16 +157,23 @@ def leading_acts(artist: str) -> list[str]:
     return first
 
 
+@lru_cache(maxsize=1 << 16)
+def _acts(artist: str) -> tuple[list[str], list[list[str]]]:
+    """Words of a credit, and those of each of its leading acts."""
+    return list(name_words(artist)), [list(name_words(o)) for o in leading_acts(artist)]
+
+
 def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         bases = [base_title(t or "") for t in pdf["title"]]
+        acts = [_acts(plain(a)) if a else ([], []) for a in pdf["artist"]]
         yield pd.DataFrame(
             {
                 "side": pdf["side"],
                 "id": pdf["id"],
                 "title": [title_words(b) for b, _ in bases],
-                "artist": [list(name_words(plain(a))) if a else [] for a in pdf["artist"]],
-                "others": [[list(name_words(o)) for o in leading_acts(plain(a))] if a and s == 0 else [] for a, s in zip(pdf["artist"], pdf["side"], strict=True)],
+                "artist": [words for words, _ in acts],
+                "others": [others if s == 0 else [] for (_, others), s in zip(acts, pdf["side"], strict=True)],
                 "label": [l for _, l in bases],
                 "year": pdf["year"],
                 "count": pdf["count"],
@@ -187,19 +197,54 @@ def ordered(rows: DataFrame) -> DataFrame:
     return spread.withColumn("rank", offset + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).drop("m")
 
 
-def _neighbours(window: int):
-    """Rows of one bucket -> (local, album) of the places less than `window` apart whose years and counts fit."""
+class Letters:
+    """What bounds `title_similarity` from above: letters of each of 32 kinds, all letters, words of three and of eight letters and more, numbers."""
+
+    def __init__(self, titles: list[str]):
+        code = {t: n for n, t in enumerate(dict.fromkeys(titles))}
+        self.code = np.array([code[t] for t in titles], int)
+        words = [t.split(" ") for t in code]
+        joined = list(map("".join, words))
+        self.size = np.array(list(map(len, joined)), np.int32)
+        letters = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & 31
+        self.kinds = np.bincount(np.repeat(np.arange(len(code)), self.size) * 32 + letters, minlength=32 * len(code)).reshape(-1, 32).astype(np.int16)
+        self.words = np.array([sum(len(w) >= 3 for w in ws) for ws in words], np.int32)
+        numbers: dict[tuple, int] = {}
+        self.numbers = np.array([numbers.setdefault(tuple(sorted(filter(is_number, ws))), len(numbers)) for ws in words], int)
+        self.long = np.array([sum(len(w) >= 8 for w in ws) for ws in words], np.int32)
+
+    def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether titles may have a similarity of 0.7; without this they have less.
+
+        A typing variant of a word changes two letters of six, or four of fourteen from eight letters on. Other words hold at
+        most a fifth of all letters, and less by what the variants take of it, unless one title is the beginning of the other,
+        of which half the characters are letters; only then can numbers differ.
+        """
+        i, j = self.code[i], self.code[j]
+        apart = np.abs(self.kinds[i] - self.kinds[j]).sum(1, dtype=np.int32)
+        x, y = self.size[i], self.size[j]
+        pairs = np.minimum(self.words[i], self.words[j])
+        typing = 2 * pairs + 2 * np.minimum(pairs, self.long[i] + self.long[j])
+        begins, more = np.minimum(x, y) >= CUT // 2, apart - np.abs(x - y)
+        agree = (apart <= 0.2 * (x + y) + 0.8 * typing + 1e-6) | (begins & (more <= typing))
+        return agree & (self.numbers[i] == self.numbers[j]) | begins & (more <= 0)
+
+
+def _neighbours(window: int, titles: bool = False):
+    """Rows of one bucket -> (local, album) of the places less than `window` apart whose years and counts fit, and whose titles may, if they are given."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", kind="stable")
         side, ids, turn, own, place = (pdf[c].to_numpy() for c in ("side", "id", "turn", "own", "rank"))
         numbers = [np.nan_to_num(pdf[c].to_numpy(float)) for c in ("year", "count")]
+        letters = Letters(pdf["title"].tolist()) if titles else None
         found = []
         for step in range(1, window):
             good = own[:-step] & (side[:-step] != side[step:]) & (turn[:-step] == turn[step:]) & (place[step:] - place[:-step] < window)
             for v in numbers:
                 good &= (v[:-step] == 0) | (v[step:] == 0) | (np.abs(v[:-step] - v[step:]) <= 1)
             i = np.flatnonzero(good)
+            i = i[letters.alike(i, i + step)] if letters else i
             first = side[i] == 0
             found.append(np.stack([np.where(first, ids[i], ids[i + step]), np.where(first, ids[i + step], ids[i])]))
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
@@ -208,18 +253,20 @@ def _neighbours(window: int):
     return run
 
 
-def neighbour_pairs(rows: DataFrame, keys: list[Column], window: int = WINDOW, bucket: int = BUCKET) -> DataFrame:
+def neighbour_pairs(rows: DataFrame, keys: list[Column], window: int = WINDOW, bucket: int = BUCKET, titles: bool = False) -> DataFrame:
     """(local, album), once each: the records within `window` places of each other in some sort order whose years and counts fit.
 
-    All orders are sorted as one table without the texts; the pairs are found in vectorised steps per bucket.
+    All orders are sorted as one table without the other texts; the pairs are found in vectorised steps per bucket. With
+    `titles` pairs are left out whose titles can't be similar enough for a match.
     """
-    slim = rows.select("side", "id", "year", "count", F.posexplode(F.array(*keys)).alias("turn", "k"))
+    named = [F.array_join("title", " ").alias("title")] if titles else []
+    slim = rows.select("side", "id", "year", "count", *named, F.posexplode(F.array(*keys)).alias("turn", "k"))
     ranked = ordered(slim)
     home = F.floor(F.col("rank") / bucket)
     mine = ranked.withColumn("bucket", home).withColumn("own", F.lit(True))
     # the first rows of a bucket are also seen by the bucket before it
     seam = ranked.where((F.col("rank") % bucket < window) & (F.col("rank") >= bucket)).withColumn("bucket", home - 1).withColumn("own", F.lit(False))
-    return mine.unionByName(seam).groupBy("bucket").applyInPandas(_neighbours(window), "local long, album long").distinct()
+    return mine.unionByName(seam).groupBy("bucket").applyInPandas(_neighbours(window, titles), "local long, album long").distinct()
 
 
 def scored_pairs(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
@@ -268,7 +315,8 @@ def _records(pdf: pd.DataFrame, prefix: str) -> Iterator[dict]:
 def _compare(window: int, least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", kind="stable")
-        own, place = pdf["own"].to_numpy(), pdf["rank"].to_numpy()
+        own, place, side = pdf["own"].to_numpy(), pdf["rank"].to_numpy(), pdf["side"].to_numpy()
+        letters = Letters([" ".join(t) for t in pdf["title"]])
         rows = [
             {"side": s, "id": i, "title": list(t), "artist": tuple(a), "others": [tuple(z) for z in o], "label": l, "year": None if pd.isna(y) else int(y), "count": None if pd.isna(c) else int(c)}
             for s, i, t, a, o, l, y, c in zip(pdf["side"], pdf["id"], pdf["title"], pdf["artist"], pdf["others"], pdf["label"], pdf["year"], pdf["count"], strict=True)
@@ -277,10 +325,9 @@ def _compare(window: int, least: float):
         for i, x in enumerate(rows):
             if not own[i]:
                 continue
-            for j in range(i + 1, min(len(rows), i + window)):
-                y = rows[j]
-                if x["side"] == y["side"] or place[j] - place[i] >= window:
-                    continue
+            near = np.arange(i + 1, min(len(rows), i + window))
+            near = near[(side[near] != side[i]) & (place[near] - place[i] < window)]
+            for y in (rows[j] for j in near[letters.alike(np.full(len(near), i), near)]):
                 a, b = (x, y) if x["side"] == 0 else (y, x)
                 s = confidence(a, b)
                 if s >= least:
@@ -532,7 +579,7 @@ def match_releases(groups: DataFrame, albums: DataFrame, window: int = WINDOW, t
     pool = cut(classes.unionByName(rows.where("side = 1").select(*_as_words())))
     # blocks of equal keys that no window holds are compared as a whole
     beyond = equal_pairs(pool, window).where(F.col("confidence") >= threshold).unionByName(same_artist_pairs(pool, longest, window, threshold))
-    near = scored_pairs(neighbour_pairs(pool, keys, window), pool, threshold)
+    near = scored_pairs(neighbour_pairs(pool, keys, window, titles=True), pool, threshold)
     pairs = cut(near.unionByName(beyond).groupBy("local", "album").agg(F.max("confidence").alias("confidence")))
     same = cut(joined(pairs, classes))
     chosen = cut(assign(pairs.join(same, F.col("local") == F.col("copy"), "left_anti")))

@@ -220,6 +220,22 @@ def test_neighbours_against_brute_force(spark):
     assert got == expected and len(got) > 30
 
 
+def test_letters_rule_out_titles_and_lose_nothing(spark):
+    rng = random.Random(8)
+    words = ["silver", "silvr", "sliver", "garden", "gardens", "night", "nihgt", "counterrevolutionary", "conterrevolutionar", "of", "2", "ii", "x", "blackbird", "black", "bird"]
+    titles = [[rng.choice(words) for _ in range(rng.randrange(1, 6))] for _ in range(300)] + [["counterrevolutionary", "night"], ["counterrevolutionary", "ni"], ["counterrevolutionary", "night", "2"], ["silver" * 50]]
+    letters = releases.Letters([" ".join(t) for t in titles])
+    i, j = (k.ravel() for k in np.meshgrid(np.arange(len(titles)), np.arange(len(titles))))
+    alike = letters.alike(i, j)
+    good = np.array([releases.title_similarity(titles[x], titles[y]) >= 0.7 for x, y in zip(i, j, strict=True)])
+    assert good.any() and not (good & ~alike).any() and alike.sum() < len(alike) / 2
+    rows = [(n % 2, n, t, ["x"], [], "", None, None) for n, t in enumerate(titles)]
+    df = frame(spark, rows, releases.SCHEMA)
+    every = {tuple(r) for r in releases.neighbour_pairs(df, [F.lit("")], window=40).collect()}
+    fewer = {tuple(r) for r in releases.neighbour_pairs(df, [F.lit("")], window=40, titles=True).collect()}
+    assert fewer == {p for p in every if letters.alike(np.array([p[0]]), np.array([p[1]]))[0]} and len(fewer) < len(every)
+
+
 def test_scored_pairs_lose_nothing(spark):
     rng = random.Random(6)
     words = ["silver", "silvr", "garden", "gardens", "night", "blackbird", "black", "bird", "counterrevolutionary", "counterrevolutionar", "2", "ii"]
