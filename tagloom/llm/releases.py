@@ -160,18 +160,26 @@ def leading_acts(artist: str) -> list[str]:
 @lru_cache(maxsize=1 << 16)
 def _acts(artist: str) -> tuple[list[str], list[list[str]]]:
     """Words of a credit, and those of each of its leading acts."""
+    artist = plain(artist)
     return list(name_words(artist)), [list(name_words(o)) for o in leading_acts(artist)]
 
 
+@lru_cache(maxsize=1 << 16)
+def _named(title: str) -> tuple[list[str], str]:
+    """Words of a title without its edition labels, and the labels."""
+    base, label = base_title(title)
+    return title_words(base), label
+
+
 def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        bases = [base_title(t or "") for t in pdf["title"]]
-        acts = [_acts(plain(a)) if a else ([], []) for a in pdf["artist"]]
+        bases = [_named(t or "") for t in pdf["title"]]
+        acts = [_acts(a) if a else ([], []) for a in pdf["artist"]]
         yield pd.DataFrame(
             {
                 "side": pdf["side"],
                 "id": pdf["id"],
-                "title": [title_words(b) for b, _ in bases],
+                "title": [words for words, _ in bases],
                 "artist": [words for words, _ in acts],
                 "others": [others if s == 0 else [] for (_, others), s in zip(acts, pdf["side"], strict=True)],
                 "label": [l for _, l in bases],
@@ -489,9 +497,14 @@ def _assign(rows: list[tuple]) -> list[tuple]:
 def assign(pairs: DataFrame) -> DataFrame:
     """One-to-one pairs of the greatest total confidence, exactly for components of any size; one is held by one task."""
     pairs = cut(pairs)
-    edges = pairs.select(F.concat(F.lit("l"), F.col("local")).alias("a"), F.concat(F.lit("c"), F.col("album")).alias("b"))
-    parts = components(edges)
-    of = parts.where("node LIKE 'l%'").select(F.expr("cast(substr(node, 2) as long)").alias("local"), "component")
+    room = 1 << 62
+    if pairs.where(~(F.col("local").between(-room, room - 1) & F.col("album").between(-room, room - 1))).isEmpty():
+        # numbers are compared and hashed without sorting: even ones for local records, odd ones for albums
+        parts = components(pairs.select(F.shiftleft("local", 1).alias("a"), F.shiftleft("album", 1).bitwiseOR(F.lit(1)).alias("b")))
+        of = parts.where(F.col("node").bitwiseAND(F.lit(1)) == 0).select(F.shiftright("node", 1).alias("local"), "component")
+    else:
+        parts = components(pairs.select(F.concat(F.lit("l"), F.col("local")).alias("a"), F.concat(F.lit("c"), F.col("album")).alias("b")))
+        of = parts.where("node LIKE 'l%'").select(F.expr("cast(substr(node, 2) as long)").alias("local"), "component")
     sized = pairs.join(of, "local").select("component", "local", "album", "confidence")
     return grouped_rows(sized, "component", ["local", "album"], _assign, "local long, album long, confidence double")
 
@@ -558,7 +571,7 @@ def match_releases(groups: DataFrame, albums: DataFrame, window: int = WINDOW, t
     """
     cols = ["id", "title", "artist", "year", "count"]
     raw = groups.select(F.lit(0).alias("side"), *cols).unionByName(albums.select(F.lit(1).alias("side"), *cols))
-    rows = cut(raw.select("side", "id", "title", "artist", F.col("year").cast("int").alias("year"), F.col("count").cast("int").alias("count")).repartition(shuffle_width(groups.sparkSession)).mapInPandas(_prepare, SCHEMA).where("size(title) > 0 AND size(artist) > 0").select(*_as_text()))
+    rows = cut(raw.select("side", "id", "title", "artist", F.col("year").cast("int").alias("year"), F.col("count").cast("int").alias("count")).repartition(shuffle_width(groups.sparkSession), "title").mapInPandas(_prepare, SCHEMA).where("size(title) > 0 AND size(artist) > 0").select(*_as_text()))
     # local copies of one release form a class, named by its smallest id
     form = F.struct(F.array_join(F.array_sort(F.split("title", " ")), " ").alias("t"), F.col("artist").alias("a"), F.coalesce("year", F.lit(-1)).alias("y"), F.coalesce("count", F.lit(-1)).alias("c"))
     local = rows.where("side = 0").withColumn("form", form)

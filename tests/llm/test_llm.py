@@ -236,6 +236,14 @@ def test_letters_rule_out_titles_and_lose_nothing(spark):
     assert fewer == {p for p in every if letters.alike(np.array([p[0]]), np.array([p[1]]))[0]} and len(fewer) < len(every)
 
 
+def test_assignment_takes_ids_of_any_size(spark):
+    most = (1 << 63) - 1
+    for far in (most, -most, 5):
+        rows = [(far, 1, 0.9), (far, 2, 0.8), (3, 1, 0.85), (-4, -4, 0.8)]
+        got = releases.assign(frame(spark, rows, "local long, album long, confidence double")).collect()
+        assert sorted((r["local"], r["album"]) for r in got) == sorted([(far, 2), (3, 1), (-4, -4)])
+
+
 def test_scored_pairs_lose_nothing(spark):
     rng = random.Random(6)
     words = ["silver", "silvr", "garden", "gardens", "night", "blackbird", "black", "bird", "counterrevolutionary", "counterrevolutionar", "2", "ii"]
