@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -190,10 +190,16 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["chunk", "option", "restored", "strong", "words", "old_words"])
 
 
+def _suspicious(name: str) -> Column:
+    """Whether a text has a question mark or a character outside ASCII; told by its bytes, without a pattern over all rows."""
+    text = F.col(f"`{name}`")
+    return (F.octet_length(text) > F.length(text)) | text.contains("?") | ~F.is_valid_utf8(text)
+
+
 def field_chunks(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, pos, chunk, pure): the blank-separated parts of the fields that may be garbled; `pure`: the value is ASCII."""
-    suspicious = rows.where(" OR ".join(f"`{f}` RLIKE '[^\\\\x00-\\\\x7F]|[?]'" for f in fields))
-    value = suspicious.select(F.col(key).alias("key"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("x")).select("key", "x.field", "x.value").where("value RLIKE '[^\\\\x00-\\\\x7F]|[?]'")
+    suspicious = rows.where(reduce(Column.__or__, map(_suspicious, fields)))
+    value = suspicious.select(F.col(key).alias("key"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("x")).select("key", "x.field", "x.value").where(_suspicious("value"))
     pure = ~F.col("value").rlike(r"[^\x00-\x7F]")
     return value.select("key", "field", pure.alias("pure"), F.posexplode(F.split("value", "[ \t]")).alias("pos", "chunk")).where("chunk RLIKE '[^\\\\x00-\\\\x7F]|[?]'")
 

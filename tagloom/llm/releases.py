@@ -10,6 +10,7 @@ of their class.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ from tagloom.session import cut, shuffle_width
 
 #: Records within so many places of each other in a sort order are compared.
 WINDOW = 15
-#: Records per task of the window scan.
-BUCKET = 2_000
+#: Records per step of the window scan.
+BUCKET = 10_000
 #: Rows of each side per task where a block is compared as a whole, and shares of a block of equal titles and artists.
 TILE, SALT = 500, 8
 #: Least confidence of a match.
@@ -61,8 +63,11 @@ def base_title(title: str) -> tuple[str, str]:
 
 def title_words(title: str) -> list[str]:
     """Words of a title in order: plain forms, no accents, lower case."""
-    text = unicodedata.normalize("NFKD", plain(title)).lower()
-    text = "".join(ROMAN.get(c, c) for c in text if not unicodedata.combining(c) or c > "ऀ")
+    if title.isascii() and title.isprintable():  # is its own plain form
+        text = title.lower()
+    else:
+        text = unicodedata.normalize("NFKD", plain(title)).lower()
+        text = "".join(ROMAN.get(c, c) for c in text if not unicodedata.combining(c) or c > "ऀ")
     return ["vol" if w == "volume" else w for w in re.findall(r"[^\W_]+", text.replace("'", "").replace("’", ""))]
 
 
@@ -78,22 +83,24 @@ def title_similarity(a: list[str], b: list[str]) -> float:
     """1 for the same words in any order; less for typing variants, lost letters and a broken-off end; 0 for other numbers."""
     if not a or not b:
         return 0.0
-    if sorted(a) == sorted(b):
-        return 1.0
-    short, long = sorted((" ".join(a), " ".join(b)), key=len)
-    if len(short) >= CUT and long.startswith(short):
-        return 0.9
-    if sorted(filter(is_number, a)) != sorted(filter(is_number, b)):
-        return 0.0
     left, right, same, near = list(a), list(b), 0, 0
-    for w in list(left):
+    for w in a:
         if w in right:
             left.remove(w)
             right.remove(w)
             same += len(w)
+    if not left and not right:
+        return 1.0
+    short, long = " ".join(a), " ".join(b)
+    if len(short) > len(long):
+        short, long = long, short
+    if len(short) >= CUT and long.startswith(short):
+        return 0.9
+    if any(map(is_number, left)) or any(map(is_number, right)):  # no word is on both sides any more
+        return 0.0
     for w in list(left):
         for v in right:
-            if variant(w, v):
+            if abs(len(w) - len(v)) < 3 and variant(w, v):
                 left.remove(w)
                 right.remove(v)
                 near += len(w)
@@ -158,68 +165,65 @@ def leading_acts(artist: str) -> list[str]:
 
 
 @lru_cache(maxsize=1 << 16)
-def _acts(artist: str) -> tuple[list[str], list[list[str]]]:
-    """Words of a credit, and those of each of its leading acts."""
+def _acts(artist: str) -> tuple[str, str, str, str]:
+    """Words of a credit, those of each of its leading acts, its words of more than a letter in order, and its longest word."""
     artist = plain(artist)
-    return list(name_words(artist)), [list(name_words(o)) for o in leading_acts(artist)]
+    words = name_words(artist)
+    others = "|".join(" ".join(w) for o in leading_acts(artist) if (w := name_words(o)))
+    return " ".join(words), others, " ".join(sorted(w for w in words if len(w) > 1)), min(words, key=lambda w: (-len(w), w), default="")
 
 
 @lru_cache(maxsize=1 << 16)
-def _named(title: str) -> tuple[list[str], str]:
-    """Words of a title without its edition labels, and the labels."""
+def _named(title: str) -> tuple[str, str, str]:
+    """Words of a title without its edition labels, in their order and sorted, and the labels."""
     base, label = base_title(title)
-    return title_words(base), label
+    words = title_words(base)
+    return " ".join(words), " ".join(sorted(words)), label
+
+
+PREPARED = "side int, id long, title string, artist string, others string, label string, year int, count int, sorted string, longest string, rare string"
 
 
 def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    nothing = ("", "", "", "")
     for pdf in batches:
-        bases = [_named(t or "") for t in pdf["title"]]
-        acts = [_acts(a) if a else ([], []) for a in pdf["artist"]]
-        yield pd.DataFrame(
-            {
-                "side": pdf["side"],
-                "id": pdf["id"],
-                "title": [words for words, _ in bases],
-                "artist": [words for words, _ in acts],
-                "others": [others if s == 0 else [] for (_, others), s in zip(acts, pdf["side"], strict=True)],
-                "label": [l for _, l in bases],
-                "year": pdf["year"],
-                "count": pdf["count"],
-            }
-        )
-
-
-def ordered(rows: DataFrame) -> DataFrame:
-    """`rows` with their rank in the order of turn and key; sorted by range partitions, never in one task."""
-    order = ("turn", "k", "year", "count", "side", "id")  # equal keys mix both sides, close years and counts together
-    spread = cut(rows.repartitionByRange(shuffle_width(rows.sparkSession), *order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id()).drop("k"))
-    part = F.shiftright("m", 33).cast("int")
-    sizes = {r["p"]: r["n"] for r in spread.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row per partition
-    offset, seen = F.lit(0).cast("long"), 0
-    pairs = []
-    for p in sorted(sizes):
-        pairs += [F.lit(p), F.lit(seen).cast("long")]
-        seen += sizes[p]
-    if pairs:
-        offset = F.element_at(F.create_map(*pairs), part)
-    return spread.withColumn("rank", offset + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).drop("m")
+        title, in_order, label = zip(*(_named(t or "") for t in pdf["title"]), strict=True) if len(pdf) else ((), (), ())
+        artist, others, longest, rare = zip(*(_acts(a) if a else nothing for a in pdf["artist"]), strict=True) if len(pdf) else ((), (), (), ())
+        others = ["" if s else o for s, o in zip(pdf["side"], others, strict=True)]
+        columns = {"title": title, "artist": artist, "others": others, "label": label, "year": pdf["year"], "count": pdf["count"], "sorted": in_order, "longest": longest, "rare": rare}
+        out = pd.DataFrame({"side": pdf["side"], "id": pdf["id"]} | columns)
+        yield out[(out["title"] != "") & (out["artist"] != "")]
+
+
+def _as_text(rows: DataFrame) -> DataFrame:
+    """`rows` with words as text, which takes a third of the room."""
+    joined = lambda c: F.array_join(c, " ")
+    forms = {"title": joined("title"), "artist": joined("artist"), "others": F.array_join(F.transform("others", joined), "|")}
+    return rows.withColumns({c: forms[c] for c, kind in rows.dtypes if c in forms and kind.startswith("array")})
+
+
+#: What a title with a number has, and a few others.
+NUMBER = re.compile(r"\d|[^\x00-\x7F]|(?<![^ ])[ivx]+(?![^ ])")
 
 
 class Letters:
-    """What bounds `title_similarity` from above: letters of each of 32 kinds, all letters, words of three and of eight letters and more, numbers."""
+    """What bounds similarities of titles and artists from above: letters of each of 32 kinds, all letters, words of one letter, of two, three and eight and more, numbers."""
 
     def __init__(self, titles: list[str]):
         code = {t: n for n, t in enumerate(dict.fromkeys(titles))}
+        self.texts = list(code)
         self.code = np.array([code[t] for t in titles], int)
-        words = [t.split(" ") for t in code]
-        joined = list(map("".join, words))
-        self.size = np.array(list(map(len, joined)), np.int32)
-        letters = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & 31
-        self.kinds = np.bincount(np.repeat(np.arange(len(code)), self.size) * 32 + letters, minlength=32 * len(code)).reshape(-1, 32).astype(np.int16)
-        self.words = np.array([sum(len(w) >= 3 for w in ws) for ws in words], np.int32)
-        numbers: dict[tuple, int] = {}
-        self.numbers = np.array([numbers.setdefault(tuple(sorted(filter(is_number, ws))), len(numbers)) for ws in words], int)
-        self.long = np.array([sum(len(w) >= 8 for w in ws) for ws in words], np.int32)
+        chars = np.frombuffer("".join(f"{t} " for t in code).encode("utf-32-le", "surrogatepass"), np.uint32)
+        blank = chars == 32
+        of = np.repeat(np.arange(len(code)), [len(t) + 1 for t in code])
+        per_title = lambda of, width=1: np.bincount(of, minlength=len(code) * width).astype(np.int32)
+        self.size = per_title(of[~blank])
+        self.kinds = per_title(of[~blank] * 32 + (chars[~blank] & 31), 32).reshape(-1, 32).astype(np.int16)
+        ends = np.flatnonzero(blank)
+        length = np.diff(ends, prepend=-1) - 1
+        self.single, self.parts, self.words, self.long = (per_title(of[ends[k]]) for k in (length == 1, length >= 2, length >= 3, length >= 8))
+        numbers: dict[tuple, int] = {(): 0}
+        self.numbers = np.array([numbers.setdefault(tuple(sorted(filter(is_number, t.split(" ")))), len(numbers)) if NUMBER.search(t) else 0 for t in code], int)
 
     def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether titles may have a similarity of 0.7; without this they have less.
@@ -228,59 +232,178 @@ class Letters:
         most a fifth of all letters, and less by what the variants take of it, unless one title is the beginning of the other,
         of which half the characters are letters; only then can numbers differ.
         """
-        i, j = self.code[i], self.code[j]
-        apart = np.abs(self.kinds[i] - self.kinds[j]).sum(1, dtype=np.int32)
-        x, y = self.size[i], self.size[j]
-        pairs = np.minimum(self.words[i], self.words[j])
-        typing = 2 * pairs + 2 * np.minimum(pairs, self.long[i] + self.long[j])
+        i, j, x, y, apart, typing = self._apart(i, j)
         begins, more = np.minimum(x, y) >= CUT // 2, apart - np.abs(x - y)
         agree = (apart <= 0.2 * (x + y) + 0.8 * typing + 1e-6) | (begins & (more <= typing))
         return agree & (self.numbers[i] == self.numbers[j]) | begins & (more <= 0)
 
+    def one_act(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether artists may have a similarity of 0.75; without this they have less.
 
-def _neighbours(window: int, titles: bool = False):
-    """Rows of one bucket -> (local, album) of the places less than `window` apart whose years and counts fit, and whose titles may, if they are given."""
+        All words are paired off but for typing, unless there are initials, repeated words or words written together
+        (of as many letters, not always the same), or one artist is the beginning of the other.
+        """
+        special = (self.single > 0) | np.array([len(set(w := t.split(" "))) < len(w) for t in self.texts], bool)
+        i, j, x, y, apart, typing = self._apart(i, j)
+        begins = (np.minimum(x, y) >= 4) & (apart <= np.abs(x - y))
+        p, q = self.parts[i], self.parts[j]
+        together = (p != q) & (np.abs(x - y) <= typing) | (np.minimum(p, q) >= 3)
+        return (i == j) | special[i] | special[j] | (apart <= typing) | begins | together
+
+    def _apart(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Codes, letters, letters that differ, and how many typing variants may change."""
+        i, j = self.code[i], self.code[j]
+        pairs = np.minimum(self.words[i], self.words[j])
+        typing = 2 * pairs + 2 * np.minimum(pairs, self.long[i] + self.long[j])
+        return i, j, self.size[i], self.size[j], np.abs(self.kinds[i] - self.kinds[j]).sum(1, dtype=np.int32), typing
+
+
+def _close_places(pdf: pd.DataFrame, window: int, letters: Letters | None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (local, album) of the rows less than `window` places apart whose years and counts fit, and whose titles may, if `letters` are given.
+
+    `pdf` is in order; rows with the same number of 0 or more in `seen` were compared before.
+    """
+    side, turn, place, seen = (pdf[c].to_numpy() for c in ("side", "turn", "place", "seen"))
+    numbers = [np.nan_to_num(pdf[c].to_numpy(float)) for c in ("year", "count")]
+    found = [np.zeros((2, 0), int)]
+    for step in range(1, window):
+        good = (side[:-step] != side[step:]) & (turn[:-step] == turn[step:]) & (place[step:] - place[:-step] < window)
+        good &= (seen[step:] < 0) | (seen[:-step] != seen[step:])
+        for v in numbers:
+            good &= (v[:-step] == 0) | (v[step:] == 0) | (np.abs(v[:-step] - v[step:]) <= 1)
+        i = np.flatnonzero(good)
+        i = i[letters.alike(i, i + step)] if letters else i
+        first = side[i] == 0
+        found.append(np.stack([np.where(first, i, i + step), np.where(first, i + step, i)]))
+    x, y = np.concatenate(found, axis=1)
+    return x, y
+
+
+def _neighbours(window: int, titles: bool = False, least: float | None = None):
+    """Rows in order -> (local, album) of neighbours, or those of at least the confidence `least` with it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank", kind="stable")
-        side, ids, turn, own, place = (pdf[c].to_numpy() for c in ("side", "id", "turn", "own", "rank"))
-        numbers = [np.nan_to_num(pdf[c].to_numpy(float)) for c in ("year", "count")]
-        letters = Letters(pdf["title"].tolist()) if titles else None
-        found = []
-        for step in range(1, window):
-            good = own[:-step] & (side[:-step] != side[step:]) & (turn[:-step] == turn[step:]) & (place[step:] - place[:-step] < window)
-            for v in numbers:
-                good &= (v[:-step] == 0) | (v[step:] == 0) | (np.abs(v[:-step] - v[step:]) <= 1)
-            i = np.flatnonzero(good)
-            i = i[letters.alike(i, i + step)] if letters else i
-            first = side[i] == 0
-            found.append(np.stack([np.where(first, ids[i], ids[i + step]), np.where(first, ids[i + step], ids[i])]))
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pd.DataFrame({"local": pairs[0], "album": pairs[1]}).astype("int64")
+        letters = Letters(pdf["title"].tolist()) if titles or least is not None else None
+        x, y = _close_places(pdf, window, letters)
+        ids = pdf["id"].to_numpy()
+        if least is None:
+            x, y = np.unique(np.stack([ids[x], ids[y]]), axis=1)
+            return pd.DataFrame({"local": x, "album": y}).astype("int64")
+        x, y, s = confidences(pdf, x, y, letters, least)
+        return pd.DataFrame({"local": ids[x], "album": ids[y], "confidence": s})
+
+    return run
+
+
+@lru_cache(maxsize=1 << 17)
+def _title_similarity(a: str, b: str) -> float:
+    return 1.0 if a == b else title_similarity(a.split(" "), b.split(" "))
+
+
+@lru_cache(maxsize=1 << 17)
+def _credit_similarity(a: str, others: str, b: str) -> float:
+    """Of the readings of a local credit, the similarity of the one nearest to the artist `b`."""
+    b = tuple(b.split(" "))
+    return max([artist_similarity(tuple(a.split(" ")), b), *(0.97 * artist_similarity(tuple(z.split(" ")), b) for z in others.split("|") if z)])
+
+
+def confidences(pdf: pd.DataFrame, x: np.ndarray, y: np.ndarray, letters: Letters, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (x, y) of rows of `pdf` that reach `least`, with what `confidence` gives them; equal pairs of texts are compared once."""
+
+    def per_pair(p: np.ndarray, q: np.ndarray, similarity) -> np.ndarray:
+        """`similarity` of the codes p, q."""
+        n = int(max(p.max(initial=0), q.max(initial=0))) + 1
+        pairs, back = np.unique(p * n + q, return_inverse=True)
+        return np.array([similarity(a, b) for a, b in zip((pairs // n).tolist(), (pairs % n).tolist(), strict=True)], float)[back]
+
+    keep = (pdf["others"].to_numpy() != "")[x] | Letters(pdf["artist"].tolist()).one_act(x, y)
+    x, y, text = x[keep], y[keep], letters.texts
+    title = per_pair(letters.code[x], letters.code[y], lambda a, b: _title_similarity(text[a], text[b]))
+    keep = ALBUM * title >= ALBUM * 0.7
+    x, y, title = x[keep], y[keep], title[keep]
+    code, credit = pd.factorize(pd.Series(list(zip(pdf["artist"], pdf["others"], strict=True)), dtype=object))
+    artist = per_pair(code[x], code[y], lambda a, b: _credit_similarity(*credit[a], credit[b][0]))
+    keep = artist >= 0.75
+    x, y, title, artist = x[keep], y[keep], title[keep], artist[keep]
+
+    def part(name: str) -> np.ndarray:
+        v = np.nan_to_num(pdf[name].to_numpy(float))
+        return np.where((v[x] == 0) | (v[y] == 0), 0.5, np.where(v[x] == v[y], 1.0, 0.6))
+
+    s = ALBUM * title
+    s += ARTIST * artist
+    s += YEAR * part("year")
+    s += COUNT * part("count")
+    s -= 0.01 * (pdf["label"].to_numpy() != "")[y]
+    keep = s >= least
+    return x[keep], y[keep], s[keep]
+
+
+def _sweep(window: int, bucket: int, compare):
+    """Sorted batches of one range of the order -> results of `compare`, and the first and last rows of the range in one row (`part`, `n`, `seam`)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, head, tail = 0, [], None
+        for batch in batches:
+            for a in range(0, len(batch), bucket):
+                new = batch.iloc[a : a + bucket]
+                new = new.assign(place=np.arange(n, n + len(new)), seen=-1)
+                if n < window:
+                    head.append(new.iloc[: window - n])
+                n += len(new)
+                rows = new if tail is None else pd.concat([tail, new], ignore_index=True)
+                yield compare(rows)
+                tail = rows.iloc[-window:].assign(seen=0)
+        if n:
+            first = pd.concat(head, ignore_index=True)
+            seam = pd.concat([first, tail[tail["place"] >= len(first)]], ignore_index=True)
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [n], "seam": [pickle.dumps(seam)]})
 
     return run
 
 
-def neighbour_pairs(rows: DataFrame, keys: list[Column], window: int = WINDOW, bucket: int = BUCKET, titles: bool = False) -> DataFrame:
+def _seams(compare):
+    """The first and last rows of all ranges -> results of `compare` for pairs of two ranges; a few rows per range."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        offset, parts = 0, []
+        for part, n, seam in sorted((r for pdf in batches for r in zip(pdf["part"], pdf["n"], pdf["seam"], strict=True)), key=lambda r: r[0]):
+            rows = pickle.loads(seam)
+            parts.append(rows.assign(place=rows["place"] + offset, seen=int(part)))
+            offset += int(n)
+        if len(parts) > 1:
+            yield compare(pd.concat(parts, ignore_index=True))
+
+    return run
+
+
+def neighbour_pairs(rows: DataFrame, keys: list[Column], window: int = WINDOW, bucket: int = BUCKET, titles: bool = False, least: float | None = None) -> DataFrame:
     """(local, album), once each: the records within `window` places of each other in some sort order whose years and counts fit.
 
-    All orders are sorted as one table without the other texts; the pairs are found in vectorised steps per bucket. With
-    `titles` pairs are left out whose titles can't be similar enough for a match.
+    All orders are sorted as one table by ranges, never in one task; each range streams through in vectorised steps of
+    `bucket` rows, and the rows at its ends are compared with those of its neighbours afterwards. With `titles` pairs are
+    left out whose titles can't be similar enough for a match; with `least` the pairs of
+    at least this confidence are given, with it, as often as orders have them.
     """
-    named = [F.array_join("title", " ").alias("title")] if titles else []
-    slim = rows.select("side", "id", "year", "count", *named, F.posexplode(F.array(*keys)).alias("turn", "k"))
-    ranked = ordered(slim)
-    home = F.floor(F.col("rank") / bucket)
-    mine = ranked.withColumn("bucket", home).withColumn("own", F.lit(True))
-    # the first rows of a bucket are also seen by the bucket before it
-    seam = ranked.where((F.col("rank") % bucket < window) & (F.col("rank") >= bucket)).withColumn("bucket", home - 1).withColumn("own", F.lit(False))
-    return mine.unionByName(seam).groupBy("bucket").applyInPandas(_neighbours(window, titles), "local long, album long").distinct()
+    rows = _as_text(rows.withColumn("keys", F.array(*(F.concat_ws("", F.lit(chr(65 + n)), k) for n, k in enumerate(keys)))))
+    texts = [] if least is None and not titles else ["title"] if least is None else ["title", "artist", "others", "label"]
+    slim = rows.select("side", "id", "year", "count", *texts, F.explode("keys").alias("k"))
+    order = ("k", "year", "count", "side", "id")  # equal keys mix both sides, close years and counts together
+    spread = slim.repartitionByRange(shuffle_width(rows.sparkSession), *order).sortWithinPartitions(*order).withColumn("turn", F.ascii("k")).drop("k")
+    result = ["local", "album"] if least is None else ["local", "album", "confidence"]
+    schema = "local long, album long" + ", confidence double" * (least is not None)
+    compare = _neighbours(window, titles, least)
+    columns, sweep = [*result, "part", "n", "seam"], _sweep(window, bucket, compare)
+    whole = lambda batches: (pdf.assign(**{c: None for c in columns if c not in pdf})[columns] for pdf in sweep(batches))
+    swept = cut(spread.mapInPandas(whole, schema + ", part int, n long, seam binary"))
+    across = swept.where("seam IS NOT NULL").select("part", "n", "seam").repartition(1).mapInPandas(_seams(compare), schema)
+    found = swept.where("seam IS NULL").select(*result).unionByName(across)
+    return found if least is not None else found.distinct()
 
 
 def scored_pairs(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """(local, album, confidence) of the pairs (local, album) that reach `least`; each is scored once."""
-    text = lambda name: F.array_join(name, " ").alias(name)
-    own = rows.select("side", "id", text("title"), text("artist"), F.array_join(F.transform("others", lambda o: F.array_join(o, " ")), "|").alias("others"), "label", "year", "count")
+    own = _as_text(rows).select("side", "id", "title", "artist", "others", "label", "year", "count")
     x = own.where("side = 0").drop("side", "label").toDF("local", *(f"x_{c}" for c in ("title", "artist", "others", "year", "count")))
     y = own.where("side = 1").drop("side", "others").toDF("album", *(f"y_{c}" for c in ("title", "artist", "label", "year", "count")))
 
@@ -320,35 +443,14 @@ def _records(pdf: pd.DataFrame, prefix: str) -> Iterator[dict]:
         yield {"title": t.split(" "), "artist": tuple(a.split(" ")), "others": [tuple(z.split(" ")) for z in o.split("|")] if o else [], "label": l, "year": y, "count": c}
 
 
-def _compare(window: int, least: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank", kind="stable")
-        own, place, side = pdf["own"].to_numpy(), pdf["rank"].to_numpy(), pdf["side"].to_numpy()
-        letters = Letters([" ".join(t) for t in pdf["title"]])
-        rows = [
-            {"side": s, "id": i, "title": list(t), "artist": tuple(a), "others": [tuple(z) for z in o], "label": l, "year": None if pd.isna(y) else int(y), "count": None if pd.isna(c) else int(c)}
-            for s, i, t, a, o, l, y, c in zip(pdf["side"], pdf["id"], pdf["title"], pdf["artist"], pdf["others"], pdf["label"], pdf["year"], pdf["count"], strict=True)
-        ]
-        out = []
-        for i, x in enumerate(rows):
-            if not own[i]:
-                continue
-            near = np.arange(i + 1, min(len(rows), i + window))
-            near = near[(side[near] != side[i]) & (place[near] - place[i] < window)]
-            for y in (rows[j] for j in near[letters.alike(np.full(len(near), i), near)]):
-                a, b = (x, y) if x["side"] == 0 else (y, x)
-                s = confidence(a, b)
-                if s >= least:
-                    out.append((a["id"], b["id"], s))
-        return pd.DataFrame(out, columns=["local", "album", "confidence"]).astype({"local": "int64", "album": "int64", "confidence": "float64"})
-
-    return run
+#: Columns of the records that are compared.
+PAIRED = ("side", "id", "title", "artist", "others", "label", "year", "count")
 
 
 def _over(rows: DataFrame, block: list[str], window: int) -> DataFrame:
     """`rows` of the blocks with both sides and more rows than a window holds; smaller blocks are compared in their sort order."""
-    sizes = rows.groupBy(*block).agg(F.count("*").alias("m"), F.countDistinct("side").alias("sides")).where((F.col("m") > window) & (F.col("sides") == 2))
-    return rows.join(sizes.drop("sides"), block)
+    sizes = rows.groupBy(*block).agg(F.count("*").alias("m"), F.min("side").alias("low"), F.max("side").alias("high")).where((F.col("m") > window) & (F.col("low") < F.col("high")))
+    return rows.join(sizes.select(*block, "m"), block)
 
 
 def _near(side: int, name: str) -> Column:
@@ -364,7 +466,8 @@ def equal_pairs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
     One join on title, artist, year and count; the albums of a key are salted. Confidences are those of `confidence`.
     """
-    named = rows.select("side", "id", "year", "count", "label", F.array_join(F.array_sort("title"), " ").alias("t"), F.array_join("artist", " ").alias("a"))
+    in_order = F.col("sorted") if "sorted" in rows.columns else F.array_join(F.array_sort("title"), " ")
+    named = _as_text(rows.withColumn("t", in_order)).select("side", "id", "year", "count", "label", "t", F.col("artist").alias("a"))
     block = cut(_over(named, ["t", "a"], window))
 
     def spread(side: int, salt: Column) -> DataFrame:
@@ -384,11 +487,13 @@ def equal_pairs(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _compare_all(least: float):
-    compare = _compare(2 * TILE + 1, least)
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "id"]).reset_index(drop=True)
-        return compare(pdf.assign(rank=np.arange(len(pdf)), own=True))
+        letters, ids = Letters(pdf["title"].tolist()), pdf["id"].to_numpy()
+        x, y = (np.flatnonzero(pdf["side"].to_numpy() == side) for side in (0, 1))
+        x, y = np.repeat(x, len(y)), np.tile(y, len(x))
+        alike = letters.alike(x, y)
+        x, y, s = confidences(pdf, x[alike], y[alike], letters, least)
+        return pd.DataFrame({"local": ids[x], "album": ids[y], "confidence": s})
 
     return run
 
@@ -397,7 +502,7 @@ def same_artist_pairs(rows: DataFrame, longest: Column, window: int = WINDOW, le
     """(local, album, confidence) of the pairs with one artist, year and count, in blocks beyond the window: every
     tile of local rows meets every tile of albums, each pair of tiles in a group of its own."""
     named = rows.withColumn("b", F.concat_ws("|", longest, F.coalesce("year", F.lit(0)), F.coalesce("count", F.lit(0))))
-    block = _over(named, ["b"], window)
+    block = _over(_as_text(named).select(*PAIRED, "b"), ["b"], window)
     place = F.row_number().over(Window.partitionBy("b", "side").orderBy("id")) - 1
     tiled = cut(block.withColumn("tile", F.floor(place / TILE)))
     tiles = tiled.groupBy("b").agg(F.max(F.when(F.col("side") == 0, F.col("tile"))).alias("tx"), F.max(F.when(F.col("side") == 1, F.col("tile"))).alias("ty"))
@@ -545,23 +650,11 @@ def joined(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     most = pairs.groupBy("album").agg(F.max("confidence").alias("most"))
     top = F.max(F.struct("confidence", "most", (-F.col("album")).alias("o"))).alias("top")
     best = pairs.join(most, "album").groupBy("local").agg(top).select(F.col("local").alias("id"), (-F.col("top.o")).alias("album"), F.col("top.confidence").alias("confidence"))
-    words = classes.select("id", F.array_join("title", " ").alias("title"), F.array_join("artist", " ").alias("artist"), F.col("year").cast("double").alias("year"), F.col("count").cast("double").alias("count"))
+    words = classes.select("id", "title", "artist", F.col("year").cast("double").alias("year"), F.col("count").cast("double").alias("count"))
     rows = best.join(words, "id").select("album", "id", "confidence", "title", "artist", "year", "count")
     return grouped_rows(rows, "album", ["id"], _copies, "copy long, of long")
 
 
-def _as_text() -> list[Column]:
-    """The columns of `SCHEMA` with words as text, which takes a third of the room."""
-    joined = lambda c: F.array_join(c, " ")
-    return [F.col("side"), F.col("id"), joined("title").alias("title"), joined("artist").alias("artist"), F.array_join(F.transform("others", joined), "|").alias("others"), F.col("label"), F.col("year"), F.col("count")]
-
-
-def _as_words() -> list[Column]:
-    """The columns of `SCHEMA` from those of `_as_text`."""
-    parts = lambda c: F.split(c, " ")
-    return [F.col("side"), F.col("id"), parts("title").alias("title"), parts("artist").alias("artist"), F.transform(F.filter(F.split("others", "[|]"), lambda o: o != ""), parts).alias("others"), F.col("label"), F.col("year"), F.col("count")]
-
-
 def match_releases(groups: DataFrame, albums: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
     """(group_id, collection_id, confidence): the album of each local release, with a confidence of 0 to 1.
 
@@ -571,28 +664,25 @@ def match_releases(groups: DataFrame, albums: DataFrame, window: int = WINDOW, t
     """
     cols = ["id", "title", "artist", "year", "count"]
     raw = groups.select(F.lit(0).alias("side"), *cols).unionByName(albums.select(F.lit(1).alias("side"), *cols))
-    rows = cut(raw.select("side", "id", "title", "artist", F.col("year").cast("int").alias("year"), F.col("count").cast("int").alias("count")).repartition(shuffle_width(groups.sparkSession), "title").mapInPandas(_prepare, SCHEMA).where("size(title) > 0 AND size(artist) > 0").select(*_as_text()))
+    rows = cut(raw.select("side", "id", "title", "artist", F.col("year").cast("int").alias("year"), F.col("count").cast("int").alias("count")).repartition(shuffle_width(groups.sparkSession), "title").mapInPandas(_prepare, PREPARED))
     # local copies of one release form a class, named by its smallest id
-    form = F.struct(F.array_join(F.array_sort(F.split("title", " ")), " ").alias("t"), F.col("artist").alias("a"), F.coalesce("year", F.lit(-1)).alias("y"), F.coalesce("count", F.lit(-1)).alias("c"))
-    local = rows.where("side = 0").withColumn("form", form)
-    classes = local.groupBy("form").agg(F.min_by(F.struct("side", "id", "title", "artist", "others", "label", "year", "count"), "id").alias("r")).select("r.*")
-    title, artist = F.array_join(F.array_sort("title"), " "), F.array_join("artist", " ")
-    longest = F.array_join(F.array_sort(F.filter("artist", lambda w: F.length(w) > 1)), " ")
-    rare = F.element_at(F.array_sort(F.transform("artist", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    form = ["sorted", "artist", "y", "c"]
+    local = rows.where("side = 0").withColumns({"y": F.coalesce("year", F.lit(-1)), "c": F.coalesce("count", F.lit(-1))})
+    local = cut(local.join(local.groupBy(*form).agg(F.min("id").alias("local")), form).drop("y", "c"))
+    classes = local.where("id = local").drop("local")
+    pool = classes.unionByName(rows.where("side = 1"))
     number = lambda name: F.lpad(F.coalesce(F.col(name), F.lit(0)).cast("string"), 4, "0")
     keys = [
-        F.concat_ws("|", title, artist),
-        F.concat_ws("|", F.array_join("title", " "), number("year"), artist),
-        F.concat_ws("|", rare, F.array_join("title", " ")),
-        F.concat_ws("|", longest, number("year"), number("count"), title),
-        F.concat_ws("|", number("year"), number("count"), rare, title),
-        F.concat_ws("|", F.reverse(F.array_join("title", " ")), rare),
+        F.concat_ws("|", "sorted", "artist"),
+        F.concat_ws("|", "title", number("year"), "artist"),
+        F.concat_ws("|", "rare", "title"),
+        F.concat_ws("|", "longest", number("year"), number("count"), "sorted"),
+        F.concat_ws("|", number("year"), number("count"), "rare", "sorted"),
+        F.concat_ws("|", F.reverse("title"), "rare"),
     ]
-    classes = classes.select(*_as_words())
-    pool = cut(classes.unionByName(rows.where("side = 1").select(*_as_words())))
     # blocks of equal keys that no window holds are compared as a whole
-    beyond = equal_pairs(pool, window).where(F.col("confidence") >= threshold).unionByName(same_artist_pairs(pool, longest, window, threshold))
-    near = scored_pairs(neighbour_pairs(pool, keys, window, titles=True), pool, threshold)
+    beyond = equal_pairs(pool, window).where(F.col("confidence") >= threshold).unionByName(same_artist_pairs(pool, F.col("longest"), window, threshold))
+    near = neighbour_pairs(pool, keys, window, least=threshold)
     pairs = cut(near.unionByName(beyond).groupBy("local", "album").agg(F.max("confidence").alias("confidence")))
     same = cut(joined(pairs, classes))
     chosen = cut(assign(pairs.join(same, F.col("local") == F.col("copy"), "left_anti")))
@@ -602,8 +692,8 @@ def match_releases(groups: DataFrame, albums: DataFrame, window: int = WINDOW, t
     # a class that lost its best album keeps it only if it is shown to be a copy of the class that has it
     tops = pairs.join(chosen.select("local"), "local", "left_anti").groupBy("local").agg(F.max(F.struct("confidence", (-F.col("album")).alias("o"))).alias("top"))
     tops = tops.select("local", (-F.col("top.o")).alias("album"), F.col("top.confidence").alias("confidence"))
-    words = classes.select(F.col("id").alias("local"), F.array_join("title", " ").alias("title"), F.array_join("artist", " ").alias("artist"), F.col("year").cast("double").alias("year"), F.col("count").cast("double").alias("count"))
+    words = classes.select(F.col("id").alias("local"), "title", "artist", F.col("year").cast("double").alias("year"), F.col("count").cast("double").alias("count"))
     winners = chosen.groupBy("album").agg(F.min("local").alias("local")).join(words, "local").toDF("winner", "album", "w_title", "w_artist", "w_year", "w_count")
     found = chosen.unionByName(tops.join(words, "local").join(winners, "album").mapInPandas(_kept, "local long, album long, confidence double"))
-    ids = local.select("id", "form").join(local.groupBy("form").agg(F.min("id").alias("local")), "form").select("id", "local")
+    ids = local.select("id", "local")
     return ids.join(found, "local").select(F.col("id").alias("group_id"), F.col("album").alias("collection_id"), F.round("confidence", 6).alias("confidence"))

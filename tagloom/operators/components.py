@@ -18,12 +18,11 @@ from tagloom.session import cut
 SPLIT = 1_000_000
 
 
-def _looked_up(edges: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
-    """`edges` with the columns of `lookup` (key, least, k), where k counts the edges of the key."""
-    total = edges.count()
-    if total < SPLIT:
+def _looked_up(edges: DataFrame, lookup: DataFrame, key: str, most: int) -> DataFrame:
+    """`edges`, `most` or fewer, with the columns of `lookup` (key, least, k), where k counts the edges of the key."""
+    if most < SPLIT:
         return edges.join(lookup.drop("k"), key)
-    return lookup_join(edges, cut(lookup), key, "k", total)
+    return lookup_join(edges, cut(lookup), key, "k", edges.count())
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -35,20 +34,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     nodes = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("node"))
     current = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    signature = None
+    signature, n = None, current.count()  # no step adds edges
     for _ in range(rounds):
         # large star: every larger neighbour of a node is linked to the smallest of its neighbourhood
         both = current.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(current.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
         least = both.groupBy("n").agg(F.min("m").alias("x"), F.count_if(F.col("m") > F.col("n")).alias("k")).where("k > 0").select("n", F.least("n", "x").alias("least"), "k")
-        large = _looked_up(both.where("m > n"), least, "n").select(F.col("m").alias("hi"), F.col("least").alias("lo")).where("hi <> lo").distinct()
+        large = _looked_up(both.where("m > n"), least, "n", n).select(F.col("m").alias("hi"), F.col("least").alias("lo")).where("hi <> lo").distinct()
         # small star: the smaller neighbours of a node and the node itself are linked to the smallest of them
         low = large.groupBy("hi").agg(F.min("lo").alias("least"), F.count("*").alias("k"))
-        small = _looked_up(large, low, "hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo")).union(low.select("hi", F.col("least").alias("lo"))).where("hi <> lo").distinct()
+        small = _looked_up(large, low, "hi", n).select(F.col("lo").alias("hi"), F.col("least").alias("lo")).union(low.select("hi", F.col("least").alias("lo"))).where("hi <> lo").distinct()
         current = cut(small)
         seen = current.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if tuple(seen) == signature:
             break
-        signature = tuple(seen)
+        signature, n = tuple(seen), max(n, seen[0])
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return nodes.join(current.select(F.col("hi").alias("node"), "lo"), "node", "left").select("node", F.coalesce("lo", "node").alias("component"))

@@ -220,6 +220,36 @@ def test_neighbours_against_brute_force(spark):
     assert got == expected and len(got) > 30
 
 
+def test_letters_rule_out_artists_and_lose_nothing():
+    rng = random.Random(3)
+    words = ["orrin", "orin", "mabel", "mabell", "o", "wolves", "wolfes", "gold", "smith", "goldsmith", "zarneturs", "zarnetur", "of", "la", "counterrevolutionary", "conterrevolutionar", "é", "goldsmit"]
+    artists = sorted({" ".join(sorted(rng.choice(words) for _ in range(rng.randrange(1, 5)))) for _ in range(250)} | {"gold gold", "la", "la la", "zarnetur", "ab bc", "abcd"})
+    letters = releases.Letters(artists)
+    i, j = (k.ravel() for k in np.meshgrid(np.arange(len(artists)), np.arange(len(artists))))
+    good = np.array([releases.artist_similarity(tuple(artists[x].split(" ")), tuple(artists[y].split(" "))) >= 0.75 for x, y in zip(i, j, strict=True)])
+    may = letters.one_act(i, j)
+    assert good.any() and not (good & ~may).any() and not may.all()
+
+
+def test_neighbours_are_scored_where_they_meet(spark):
+    rng = random.Random(9)
+    words = ["silver", "silvr", "garden", "gardens", "night", "counterrevolutionary", "counterrevolutionar", "2", "ii"]
+    names_ = ["orrin mabel", "mabel orin", "o mabel", "the wolves", "wolfes"]
+    rows = [(i % 2, i, [rng.choice(words) for _ in range(rng.randrange(1, 4))], rng.choice(names_).split(" "), [["orrin", "mabel"]] if i % 10 == 0 else [], rng.choice(["", "deluxe"]) if i % 2 else "", rng.choice([None, 0, 2000, 2001]), rng.choice([None, 9])) for i in range(120)]
+    record = lambda r: {"title": r[2], "artist": tuple(r[3]), "others": [tuple(o) for o in r[4]], "label": r[5], "year": r[6], "count": r[7]}
+    keys = {"title": lambda r: " ".join(r[2]), "artist": lambda r: " ".join(r[3])}
+    low = lambda v: -1 if v is None else v
+    for n, window in ((120, 6), (9, 40)):  # in the second case every range has fewer rows than a window
+        expected = {}
+        for key in keys.values():
+            placed = sorted(rows[:n], key=lambda r: (key(r), low(r[6]), low(r[7]), r[0], r[1]))
+            near = [(x, y) if x[0] == 0 else (y, x) for i, x in enumerate(placed) for y in placed[i + 1 : i + window] if x[0] != y[0]]
+            expected |= {(x[1], y[1]): releases.confidence(record(x), record(y)) for x, y in near}
+        expected = {p: s for p, s in expected.items() if s >= 0.72}
+        found = releases.neighbour_pairs(frame(spark, rows[:n], releases.SCHEMA), [F.array_join(k, " ") for k in keys], window, bucket=7, least=0.72)
+        assert {(r["local"], r["album"]): r["confidence"] for r in found.collect()} == expected and expected
+
+
 def test_letters_rule_out_titles_and_lose_nothing(spark):
     rng = random.Random(8)
     words = ["silver", "silvr", "sliver", "garden", "gardens", "night", "nihgt", "counterrevolutionary", "conterrevolutionar", "of", "2", "ii", "x", "blackbird", "black", "bird"]
